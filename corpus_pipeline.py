@@ -7,8 +7,16 @@ as the documents of the next stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trustloom.llm import _common, bpe, decontaminate, exact_dedup
+from trustloom.llm import _common, bpe, decontaminate, exact_dedup, jaccard_join, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't hold toxic; those of a null text stay."""
+    model = toxicity.fit(docs, _common.table(spark, sf_dir, "labels"))
+    p = F.round(toxicity.score(docs["text"], model, spark), 6)
+    return docs.where(F.coalesce(p, F.lit(0.0)) < 0.5)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,6 +24,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs).select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are connected by near-copy pairs, that of the smallest doc_id."""
+    groups = jaccard_join.components(jaccard_join.jaccard_join(docs))
+    drop = groups.where("doc_id <> group_id").select("doc_id")
+    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+
+
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage, word for word or nearly."""
     leaks = decontaminate.decontaminate(docs, _common.table(spark, sf_dir, "benchmark"))
@@ -28,7 +43,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact dedup", drop_copies),
+    ("n-gram jaccard join", drop_near_copies),
     ("benchmark decontamination", drop_leaks),
     ("bpe", encode),
 ]

@@ -8,10 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, exact_dedup, licenses
+from . import bpe, decontaminate, exact_dedup, jaccard_join, licenses, toxicity
 from ._common import table
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(table(spark, sf_dir, "documents"))
 
@@ -29,6 +37,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_toxicity": op5_toxicity,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_bpe": op7_bpe,
     "op8_licenses": op8_licenses,
     "op9_exact_dedup": lambda s, d: op9_exact_dedup(s, d).select("doc_id", "copies"),
@@ -36,6 +46,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {"op9_exact_dedup": exact_dedup.SQL, "op10_decontamination": decontaminate.SQL}
+SQL: dict[str, str] = {"op9_exact_dedup": exact_dedup.SQL, "op10_decontamination": decontaminate.SQL, "op6_jaccard_join": jaccard_join.SQL}
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
