@@ -3,13 +3,13 @@
 Documents are hashed to blocks of some megabytes. Each block sends its sorted
 fingerprints, delta-coded and cut into buckets of the value range, with two
 bytes of payload each; a bucket looks at all blocks' values at once and
-answers each block with one number a fingerprint. So a fingerprint costs a few
+answers each block for each fingerprint. So a fingerprint costs a few
 bytes of shuffle, and texts move once, to their block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,35 +45,79 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
 
 
-def blocks(docs: DataFrame, key: Column, text: Column, by: Column | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, k, t), hash-partitioned by block; null keys and texts are left out."""
-    rows = docs.select(key.cast("bigint").alias("k"), text.alias("t"), *([by.alias("b")] if by is not None else [])).where("k is not null and t is not null")
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-int(size) // block_bytes))
-    block = F.pmod(F.xxhash64("b" if by is not None else "k"), F.lit(n)).cast("bigint")
-    parts = max(1, min(n, max(shuffle_partitions(docs.sparkSession), n // 4)))
-    return rows.select(block.alias("block"), "k", "t").repartition(parts, "block")
+_BLOCK = "block bigint, n int, docs binary"
+
+
+def block_count(size: int | None, block_bytes: int = BLOCK_BYTES) -> int:
+    return max(1, -(-int(size or 0) // block_bytes))
+
+
+def blocks(docs: DataFrame, key: Column, text: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, n, docs): compressed documents, hash-partitioned by block; null keys and texts are left out."""
+    rows = docs.select(key.cast("bigint").alias("k"), text.alias("t")).where("k is not null and t is not null")
+    n = block_count(rows.agg(F.sum(F.octet_length("t"))).first()[0], block_bytes)
+    return pack_blocks(rows.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(n)).cast("bigint")), n)
+
+
+def pack_blocks(rows: DataFrame, n: int, prepare: Callable[[str], str] = str) -> DataFrame:
+    """Rows (k, t, block), block one of n, as blocks(); prepare is applied to the texts first."""
+    parts = max(1, min(n, max(shuffle_partitions(rows.sparkSession), n // 4)))
+    schema = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("docs", pa.binary())])
+
+    def pack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts, at = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            out = []
+            for b in np.unique(at):
+                i = np.flatnonzero(at == b)
+                raw = [prepare(texts[j]).encode() for j in i]
+                head = np.concatenate([keys[i], np.array([len(r) for r in raw], np.int64)])
+                out.append((b, len(i), zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(raw))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out) if out else [[]] * 3, schema)], schema=schema)
+
+    return rows.select("k", "t", "block").mapInArrow(pack_docs, _BLOCK).repartition(parts, "block")
+
+
+def block_docs(table: pa.Table) -> tuple[np.ndarray, list[str]]:
+    """Keys and texts of a block, in the same order whenever it is read."""
+    keys, texts = [], []
+    for n, blob in zip(table["n"].to_pylist(), table["docs"]):
+        raw = zstandard.ZstdDecompressor().decompress(blob.as_py())
+        k, size = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n)
+        ends = 16 * n + np.cumsum(size)
+        keys.append(k)
+        texts.extend(raw[lo:hi].decode() for lo, hi in zip((ends - size).tolist(), ends.tolist()))
+    if not keys:
+        return np.zeros(0, np.int64), []
+    all_keys = np.concatenate(keys)
+    order = sorted(range(len(texts)), key=lambda i: (all_keys[i], texts[i]))  # shuffles bring the parts in any order
+    return all_keys[order], [texts[i] for i in order]
+
+
+Docs = tuple[np.ndarray, list[str]]
 
 
 def detect(
     blocked: DataFrame,
-    emit: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
-    reduce: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
-    finish: Callable[[pa.Table, np.ndarray], pa.Table],
+    emit: Callable[[Docs], tuple[np.ndarray, np.ndarray]],
+    reduce: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]],
+    finish: Callable[[int, Docs, np.ndarray], pa.Table],
     schema: str,
 ) -> DataFrame:
-    """finish(block, answers) of every block.
+    """finish(block, its documents, answers) of every block.
 
-    emit(block) gives sorted fingerprints below 2**BITS and their payload;
-    reduce(fingerprints, payload, block) the answer to each entry of a bucket,
-    sorted by fingerprint; finish gets the answers in the order of emit.
+    emit(documents) gives sorted fingerprints below 2**BITS and their payload;
+    reduce(fingerprints, payload, block) a number for each entry of a bucket,
+    sorted by fingerprint, and the table [numbers, words] of 64-bit words that
+    the numbers stand for, row 0 of zeros; finish gets the words of its
+    entries in the order of emit.
     """
     spark = blocked.sparkSession
     buckets = shuffle_partitions(spark) * 2
     out = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("fps", pa.binary()), ("payload", pa.binary())])
 
     def send(table: pa.Table) -> pa.Table:
-        fps, payload = emit(table)
+        fps, payload = emit(block_docs(table))
         cuts = np.searchsorted(fps, _bounds(buckets))
         rows = [(b, fps[cuts[b] : cuts[b + 1]], payload[cuts[b] : cuts[b + 1]]) for b in range(buckets)]
         rows = [r for r in rows if len(r[1])]
@@ -83,7 +127,7 @@ def detect(
             schema=out,
         )
 
-    back = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("answers", pa.binary())])
+    back = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("words", pa.binary())])
 
     def answer(table: pa.Table) -> pa.Table:
         ids = table["block"].to_pylist()
@@ -93,19 +137,28 @@ def detect(
         del fps
         payload = np.concatenate([unpack(b.as_py(), np.uint16) for b in table["payload"]])
         order = np.argsort(all_fps, kind="stable")
-        result = np.empty(len(order), dtype=np.uint64)
-        result[order] = reduce(all_fps[order], payload[order], np.repeat(np.array(ids, dtype=np.int64), size)[order])
-        parts = np.split(result, np.cumsum(size)[:-1])
+        number, words = reduce(all_fps[order], payload[order], np.repeat(np.array(ids, dtype=np.int64), size)[order])
+        result = np.empty(len(order), dtype=np.uint32)
+        result[order] = number
         bucket = table["bucket"][0].as_py()
-        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array([bucket] * len(ids), pa.int32()), pa.array([pack(p) for p in parts], pa.binary())], schema=back)
+        rows = []
+        for block, part in zip(ids, np.split(result, np.cumsum(size)[:-1])):
+            used, own = np.unique(np.append(part, np.uint32(0)), return_inverse=True)  # 0 stays 0
+            rows.append((block, bucket, pack(own[:-1].astype(np.uint32)), zstandard.compress(np.ascontiguousarray(words[used].T).tobytes(), 1)))
+        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), back)], schema=back)
 
     sent = blocked.groupBy("block").applyInArrow(send, "bucket int, block bigint, fps binary, payload binary")
-    answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, "block bigint, bucket int, answers binary")
+    answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, "block bigint, bucket int, numbers binary, words binary")
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")
-        got = [unpack(b.as_py(), np.uint64) for b in right["answers"]]
-        return finish(left, np.concatenate(got) if got else np.zeros(0, np.uint64))
+        got = []
+        for numbers, words in zip(right["numbers"], right["words"]):
+            number = unpack(numbers.as_py(), np.uint32)
+            table = np.frombuffer(zstandard.decompress(words.as_py()), np.uint64)
+            table = table.reshape(-1, int(number.max(initial=0)) + 1)
+            got.append(table[:, number])
+        return finish(int(left["block"][0].as_py()), block_docs(left), np.concatenate(got, axis=1) if got else np.zeros((0, 0), np.uint64))
 
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(end, schema)
 

@@ -1,9 +1,9 @@
 """N-gram Jaccard join with prefix trees (operator 6).
 
 Every document is the set of its word n-grams. The sets are ordered globally,
-n-grams of the fewest documents first, and two sets of similarity t share one
-within their prefixes of |x| - ceil(t |x|) + 1. N-grams that occur in the same
-documents are one key, so a group of near copies meets in few places. There
+n-grams of few documents first, and two sets of similarity t share one
+within their prefixes of |x| - ceil(t |x|) + 1. Documents meet where the n-grams
+of their prefixes name a place; a group of near copies has few of them. There
 its sets stand in a prefix tree, most frequent n-gram first; a probe walks it
 once, keeps the overlap of a path for all sets below, and leaves a subtree when
 what remains of it can't reach the overlap needed.
@@ -27,15 +27,15 @@ _CANDIDATE = "key bigint, doc_id bigint, size int, h bigint, grams binary"
 PAIRS = "doc_a bigint, doc_b bigint, common bigint, size_a bigint, size_b bigint"
 
 
-def _sets(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-gram fingerprints of the block's documents: (fingerprints, document), sorted by both."""
-    fps, own = [], []
-    for w in _text.words(table["t"].to_pylist()):
+def _sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-gram fingerprints of the texts: (fingerprints, text), sorted by both."""
+    fps, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for w in _text.words(texts):
         h, ptr = _text.ngrams(w, n, short=True)
         fps.append(h >> np.uint64(64 - _exchange.BITS))
         own.append(np.repeat(np.arange(len(ptr) - 1) + w.first, np.diff(ptr)))
     f, d = np.concatenate(fps), np.concatenate(own)
-    o = np.argsort(f, kind="stable")  # documents ascend already
+    o = np.argsort(f, kind="stable")  # texts ascend already
     f, d = f[o], d[o]
     new = np.ones(len(f), dtype=bool)
     new[1:] = (f[1:] != f[:-1]) | (d[1:] != d[:-1])
@@ -48,45 +48,61 @@ def _need(t: float, a: int | np.ndarray, b: int | np.ndarray) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, n: int, t: float, key: str, text: str) -> DataFrame:
-    """A row for every document and key of its prefix: its n-grams that other documents have too."""
+    """A row for every document and meeting place of its prefix: its n-grams that other documents have too.
 
-    def emit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        f, d = _sets(table, n)
-        return f, (d & 0xFFFF).astype(np.uint16)
+    Of an n-gram's documents the one of the smallest hash names its meeting
+    place, so those of a group of near copies mostly meet at one. The global
+    order puts n-grams without a second document first, then those whose
+    documents have several n-grams in common, by the logarithm of their number
+    of documents and by place; it is the same in every document.
+    """
+
+    def emit(docs: _exchange.Docs) -> tuple[np.ndarray, np.ndarray]:
+        f, d = _sets(docs[1], n)
+        if len(docs[1]) > 1 << 16:
+            raise ValueError("a block holds more than 65536 documents")
+        return f, d.astype(np.uint16)
 
-    def reduce(f: np.ndarray, doc: np.ndarray, block: np.ndarray) -> np.ndarray:
-        start = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else np.zeros(0, np.int64)
+    def reduce(f: np.ndarray, doc: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(f):
+            return np.zeros(0, np.uint32), np.zeros((1, 2), np.uint64)
+        start = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
         df = np.diff(np.append(start, len(f)))
         who = _text.mix((block.astype(np.uint64) << np.uint64(16)) | doc)
-        sig = np.bitwise_xor.reduceat(who, start) if len(f) else who
-        value = (np.minimum(df, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (sig & np.uint64(_SIG))
-        return np.repeat(np.where(df > 1, value, np.uint64(0)), df)
+        many = df > 1
+        sig = (np.minimum(df, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (np.bitwise_xor.reduceat(who, start) & np.uint64(_SIG))
+        # equal lists of documents have equal numbers
+        both, number = np.unique(np.stack([sig[many], np.minimum.reduceat(who, start)[many]], axis=1), axis=0, return_inverse=True)
+        each = np.zeros(len(df), np.uint32)
+        each[many] = number.ravel() + 1
+        return np.repeat(each, df), np.concatenate([np.zeros((1, 2), np.uint64), both])
 
     arrow = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int32()), ("h", pa.int64()), ("grams", pa.binary())])
 
-    def finish(table: pa.Table, value: np.ndarray) -> pa.Table:
-        keys = table["k"].to_numpy()
+    def finish(block: int, docs: _exchange.Docs, answers: np.ndarray) -> pa.Table:
+        keys, texts = docs
         out: list[tuple] = []
-        if len(keys):
-            f, d = _sets(table, n)
+        if answers.size:
+            f, d = _sets(texts, n)
             size = np.bincount(d, minlength=len(keys))
-            common = value > 0
-            f, d, v = f[common], d[common], value[common]
-            live = np.bincount(d, minlength=len(keys)) >= np.maximum(1, np.ceil(t * size - 1e-9))
-            keep = live[d]
-            o = np.argsort(d[keep], kind="stable")
-            f, d, v = f[keep][o], d[keep][o], v[keep][o]
+            sig, place = answers
+            common = sig > 0
+            live = np.bincount(d[common], minlength=len(keys)) >= np.maximum(1, np.ceil(t * size - 1e-9))
+            keep = common & live[d]
+            o = np.flatnonzero(keep)
+            o = o[np.argsort(d[o], kind="stable")]
+            f, d, sig, place = f[o], d[o], sig[o], place[o]
             for doc, lo, hi in zip(*_runs(d)):
-                g, val = f[lo:hi], v[lo:hi]
-                lists, back, many = np.unique(val, return_inverse=True, return_counts=True)
-                # by document count, then the larger group of n-grams; the same in every document
-                order = np.lexsort((lists, -many, lists >> np.uint64(40)))
+                g = f[lo:hi]
+                lists, first, many = np.unique(sig[lo:hi], return_index=True, return_counts=True)
+                at = place[lo:hi][first]
+                df = np.log2((lists >> np.uint64(40)).astype(float)).astype(int)
+                order = np.lexsort((lists, at, df, many < 4))
                 prefix = hi - lo - int(np.ceil(t * size[doc] - 1e-9)) + 1
-                ends = np.cumsum(many[order])
-                used = order[: int(np.searchsorted(ends, prefix)) + 1]
+                used = order[: int(np.searchsorted(np.cumsum(many[order]), prefix)) + 1]
                 blob = _exchange.pack_sorted(g)
                 h = int(_text.mix(np.bitwise_xor.reduce(_text.mix(g)) + np.array([size[doc]], np.uint64))[0].view(np.int64))
-                out.extend((int(lists[u].view(np.int64)), int(keys[doc]), int(size[doc]), h, blob) for u in used)
+                out.extend((p, int(keys[doc]), int(size[doc]), h, blob) for p in np.unique(at[used]).view(np.int64).tolist())
         return pa.Table.from_arrays([pa.array(c, type=s.type) for c, s in zip(zip(*out) if out else [[]] * 5, arrow)], schema=arrow)
 
     blocked = _exchange.blocks(docs, F.col(f"`{key}`"), F.col(f"`{text}`"))
