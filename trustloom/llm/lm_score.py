@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 
-VOCABULARY, DIMENSION, NOISE, BATCH = 1024, 24, 32, 2048
+VOCABULARY, DIMENSION, NOISE, BATCH = 1024, 24, 32, 512
 CONTEXT = 2
 #: Numbers of the words that aren't in the vocabulary, and of the start of a document.
 UNKNOWN, START = 0, 1
