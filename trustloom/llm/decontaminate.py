@@ -51,7 +51,7 @@ def build_index(docs: DataFrame, terms: np.ndarray, key: str = "doc_id", text: s
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab = shared.value
         for pdf in batches:
-            at, pos, base = [], [], 0
+            at, pos, base = [], [], GAP
             starts = np.zeros(len(pdf), dtype=np.int64)
             for w in _text.words(pdf["t"].tolist()):
                 count = np.diff(w.ptr)
@@ -93,8 +93,6 @@ def _match(keys: np.ndarray, grid: np.ndarray, order: np.ndarray, slop: int) ->
     if slop:
         phrase = np.repeat(phrase, 2 * slop + 1)
         start = (start[:, None] + np.arange(-slop, slop + 1)).ravel()
-    keep = start >= 0
-    phrase, start = phrase[keep], start[keep]
     for k in range(1, grid.shape[1]):
         if not len(phrase):
             break
@@ -158,7 +156,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, slop: i
     MIN_TERMS to n - 1 words; shorter items have none. exact_hits counts the
     places where a phrase occurs word for word. near_hits counts (phrase, start)
     such that every word of the phrase occurs within slop words of where start
-    puts it; exact places count there too. Case and punctuation don't matter.
+    puts it (start itself may lie up to slop words before the document); exact
+    places count there too. Case and punctuation don't matter.
 
     Null or empty texts on either side match nothing; documents of a null key
     and items of a null item_id are not reported. Repeated rows of a key count
