@@ -14,7 +14,7 @@ prefix with the last winner and compares bytes only beyond that.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,19 +50,20 @@ def common_prefix(a: bytes, b: bytes, at: int = 0) -> int:
 
 
 class LoserTree:
-    """Merges sorted runs of (string, prefix it has in common with the one before it in its run).
+    """Merges sorted runs of (string, its common prefix with the one before it in the run, what belongs to it).
 
-    Yields (string, common prefix with the string yielded before, run, position).
-    Every string that waits keeps the length of its common prefix with the
-    winner it lost to; two that lost to the same winner are told apart by
+    Yields (string, common prefix with the string yielded before, what belongs
+    to it). Runs are read as they are needed, so one string of each is in
+    memory. Every string that waits keeps the length of its common prefix with
+    the winner it lost to; two that lost to the same winner are told apart by
     these lengths, and only equal ones need bytes, from there on.
     """
 
-    def __init__(self, runs: list[list[tuple[bytes, int]]]):
-        self.runs = runs
+    def __init__(self, runs: list[Iterable[tuple[bytes, int, object]]]):
         self.k = 1
         while self.k < len(runs):
             self.k *= 2
+        self.runs = [iter(r) for r in runs] + [iter(())] * (self.k - len(runs))
         self.compared = 0
 
     def _beats(self, x: list, y: list) -> bool:
@@ -73,23 +74,21 @@ class LoserTree:
             return x[1] > y[1]  # the loser's prefix with the winner is its own already
         at = common_prefix(x[0], y[0], x[1])
         self.compared += at - x[1] + 1
-        first = x[0][at:] <= y[0][at : at + len(x[0])] if at == len(x[0]) else at < len(y[0]) and x[0][at] < y[0][at]
+        first = at == len(x[0]) or at < len(y[0]) and x[0][at] < y[0][at]
         (y if first else x)[1] = at
         return first
 
-    def _entry(self, run: int, at: int, prefix: int | None = None) -> list:
-        if run < len(self.runs) and at < len(self.runs[run]):
-            s, p = self.runs[run][at]
-            return [s, p if prefix is None else prefix, run, at]
-        return [None, 0, run, at]
+    def _next(self, run: int) -> list:
+        got = next(self.runs[run], None)
+        return [None, 0, run, None] if got is None else [got[0], got[1], run, got[2]]
 
-    def __iter__(self) -> Iterator[tuple[bytes, int, int, int]]:
+    def __iter__(self) -> Iterator[tuple[bytes, int, object]]:
         k = self.k
         lost: list = [None] * k
 
         def build(node: int) -> list:
             if node >= k:
-                return self._entry(node - k, 0, 0)
+                return self._next(node - k)
             a, b = build(2 * node), build(2 * node + 1)
             if not self._beats(a, b):
                 a, b = b, a
@@ -98,9 +97,9 @@ class LoserTree:
 
         top = build(1)
         while top[0] is not None:
-            s, prefix, run, at = top
-            yield s, prefix, run, at
-            now = self._entry(run, at + 1)
+            s, prefix, run, what = top
+            yield s, prefix, what
+            now = self._next(run)
             node = (run + k) // 2
             while node:
                 if not self._beats(now, lost[node]):
@@ -128,16 +127,16 @@ def front_code(rows: list[tuple[bytes, int, int]]) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts) + b"".join(rests))
 
 
-def front_decode(blob: bytes, n: int) -> tuple[list[tuple[bytes, int]], np.ndarray, np.ndarray]:
-    """Suffixes with their common prefixes, documents, starts."""
+def front_decode(blob: bytes, n: int) -> Iterator[tuple[bytes, int, tuple[int, int]]]:
+    """Suffixes, their common prefixes with the one before, and (document, start), one at a time."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     prefix, size, doc, start = (np.frombuffer(raw, np.int64, n, i * 8 * n) for i in range(4))
-    at, last, out = 32 * n, b"", []
-    for p, m in zip(prefix.tolist(), size.tolist()):
-        last = last[:p] + raw[at : at + m]
+    at, last = 32 * n, b""
+    for i in range(n):
+        m = int(size[i])
+        last = last[: prefix[i]] + raw[at : at + m]
         at += m
-        out.append((last, p))
-    return out, doc, start
+        yield last, int(prefix[i]), (int(doc[i]), int(start[i]))
 
 
 def _windows(texts: list[str], least: int) -> Iterator[tuple[_text.Words, np.ndarray, np.ndarray, np.ndarray]]:
@@ -241,13 +240,10 @@ def suffix_dedup(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text:
     arrow = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("other_id", pa.int64()), ("other_start", pa.int64())])
 
     def merge(table: pa.Table) -> pa.Table:
-        coded = [front_decode(b.as_py(), n.as_py()) for b, n in zip(table["run"], table["n"])]
-        tree = LoserTree([c[0] for c in coded])
         out: list[tuple[int, int, int, int, int]] = []
         last: tuple[bytes, int, int] | None = None
         before = (0, -1, -1)  # words shared with the suffix before the last one, and where that stands
-        for s, prefix, run, at in tree:
-            doc, start = int(coded[run][1][at]), int(coded[run][2][at])
+        for s, prefix, (doc, start) in LoserTree([front_decode(b.as_py(), n.as_py()) for b, n in zip(table["run"], table["n"])]):
             if last is not None:
                 n = words_in(last[0], s, prefix)
                 best = before if before[0] >= n else (n, doc, start)
