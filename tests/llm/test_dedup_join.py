@@ -75,7 +75,26 @@ def test_trie_join(sets, t, extra):
             c = len(sets[i] & sets[j])
             if c >= t * (sizes[i] + sizes[j] - c) - 1e-9:
                 want.add((j, i, c))
-    assert {g for g in got if g[2]} == {w for w in want if w[2]}
+    assert got == {w for w in want if w[2]}
+    for chunk in (1, 2):
+        again = {(min(i, j), max(i, j), c) for i, j, c in trie_join([np.array(sorted(s), np.uint64) for s in sets], sizes, t, chunk=chunk)}
+        assert again == got
+        few = [(i, j) for i, j, _ in trie_join([np.array(sorted(s), np.uint64) for s in sets], sizes, t, True, chunk)]
+        assert closure(few, len(sets)) == closure([(i, j) for i, j, _ in got], len(sets)) and len(few) < len(sets)
+
+
+def closure(pairs, n):
+    group = list(range(n))
+    for i, j in pairs:
+        group = [group[i] if g == group[j] else g for g in group]
+    return [group.index(g) for g in group]
+
+
+def test_connecting_pairs(spark):
+    rows = corpus(random.Random(8))
+    full, few = (jaccard_join(frame(spark, rows), 2, 0.4, connect=c) for c in (False, True))
+    assert few.count() < full.count()
+    assert sorted(components(full).collect()) == sorted(components(few).collect())
 
 
 def test_components(spark):

@@ -52,11 +52,14 @@ def block_count(size: int | None, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, -(-int(size or 0) // block_bytes))
 
 
-def blocks(docs: DataFrame, key: Column, text: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, n, docs): compressed documents, hash-partitioned by block; null keys and texts are left out."""
+def blocks(docs: DataFrame, key: Column, text: Column, block_bytes: int = BLOCK_BYTES, by_text: bool = False) -> DataFrame:
+    """(block, n, docs): compressed documents, hash-partitioned by block; null keys and texts are left out.
+
+    by_text: equal texts come to the same block.
+    """
     rows = docs.select(key.cast("bigint").alias("k"), text.alias("t")).where("k is not null and t is not null")
     n = block_count(rows.agg(F.sum(F.octet_length("t"))).first()[0], block_bytes)
-    return pack_blocks(rows.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(n)).cast("bigint")), n)
+    return pack_blocks(rows.withColumn("block", F.pmod(F.xxhash64("t" if by_text else "k"), F.lit(n)).cast("bigint")), n)
 
 
 def pack_blocks(rows: DataFrame, n: int, prepare: Callable[[str], str] = str) -> DataFrame:
@@ -95,40 +98,37 @@ def block_docs(table: pa.Table) -> tuple[np.ndarray, list[str]]:
 
 
 Docs = tuple[np.ndarray, list[str]]
+Emit = tuple[np.ndarray, np.ndarray]
+Reduce = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+_ANSWER = pa.schema([("block", pa.int64()), ("round", pa.int32()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("words", pa.binary())])
+_ANSWER_SQL = "block bigint, round int, bucket int, numbers binary, words binary"
+
 
+def ask(blocked: DataFrame, emit: Callable[[Docs, list[np.ndarray]], Emit], reduce: Reduce, earlier: DataFrame | None = None) -> DataFrame:
+    """Answers of a round, for finish() or a further round.
 
-def detect(
-    blocked: DataFrame,
-    emit: Callable[[Docs], tuple[np.ndarray, np.ndarray]],
-    reduce: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]],
-    finish: Callable[[int, Docs, np.ndarray], pa.Table],
-    schema: str,
-) -> DataFrame:
-    """finish(block, its documents, answers) of every block.
-
-    emit(documents) gives sorted fingerprints below 2**BITS and their payload;
-    reduce(fingerprints, payload, block) a number for each entry of a bucket,
-    sorted by fingerprint, and the table [numbers, words] of 64-bit words that
-    the numbers stand for, row 0 of zeros; finish gets the words of its
-    entries in the order of emit.
+    emit(documents, words of the earlier rounds) gives sorted fingerprints
+    below 2**BITS and their payload; reduce(fingerprints, payload, block) a
+    number for each entry of a bucket, sorted by fingerprint, and the table
+    [numbers, words] of 64-bit words that the numbers stand for, row 0 of zeros.
     """
-    spark = blocked.sparkSession
-    buckets = shuffle_partitions(spark) * 2
+    buckets = shuffle_partitions(blocked.sparkSession) * 2
+    this = 0 if earlier is None else 1
     out = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("fps", pa.binary()), ("payload", pa.binary())])
 
-    def send(table: pa.Table) -> pa.Table:
-        fps, payload = emit(block_docs(table))
+    def send(left: pa.Table, right: pa.Table | None = None) -> pa.Table:
+        if not left.num_rows:
+            return out.empty_table()
+        fps, payload = emit(block_docs(left), [] if right is None else _answers(right, this))
         cuts = np.searchsorted(fps, _bounds(buckets))
         rows = [(b, fps[cuts[b] : cuts[b + 1]], payload[cuts[b] : cuts[b + 1]]) for b in range(buckets)]
         rows = [r for r in rows if len(r[1])]
-        block = table["block"][0].as_py()
+        block = left["block"][0].as_py()
         return pa.Table.from_arrays(
             [pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([pack_sorted(r[1]) for r in rows], pa.binary()), pa.array([pack(r[2]) for r in rows], pa.binary())],
             schema=out,
         )
 
-    back = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("words", pa.binary())])
-
     def answer(table: pa.Table) -> pa.Table:
         ids = table["block"].to_pylist()
         fps = [unpack_sorted(b.as_py()) for b in table["fps"]]
@@ -144,24 +144,48 @@ def detect(
         rows = []
         for block, part in zip(ids, np.split(result, np.cumsum(size)[:-1])):
             used, own = np.unique(np.append(part, np.uint32(0)), return_inverse=True)  # 0 stays 0
-            rows.append((block, bucket, pack(own[:-1].astype(np.uint32)), zstandard.compress(np.ascontiguousarray(words[used].T).tobytes(), 1)))
-        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), back)], schema=back)
+            rows.append((block, this, bucket, pack(own[:-1].astype(np.uint32)), zstandard.compress(np.ascontiguousarray(words[used].T).tobytes(), 1)))
+        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _ANSWER)], schema=_ANSWER)
+
+    schema = "bucket int, block bigint, fps binary, payload binary"
+    groups = blocked.groupBy("block")
+    if earlier is None:
+        sent = groups.applyInArrow(lambda table: send(table), schema)
+    else:
+        sent = groups.cogroup(earlier.groupBy("block")).applyInArrow(lambda left, right: send(left, right), schema)
+    answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, _ANSWER_SQL)
+    return answers if earlier is None else earlier.unionAll(answers)
+
+
+def _answers(table: pa.Table, rounds: int) -> list[np.ndarray]:
+    """Per round the words [words, entries] of a block, in the order of emit."""
+    out = []
+    table = table.sort_by([("round", "ascending"), ("bucket", "ascending")])
+    for r in range(rounds):
+        got = []
+        for at, numbers, words in zip(table["round"].to_pylist(), table["numbers"], table["words"]):
+            if at == r:
+                number = unpack(numbers.as_py(), np.uint32)
+                of = np.frombuffer(zstandard.decompress(words.as_py()), np.uint64).reshape(-1, int(number.max(initial=0)) + 1)
+                got.append(of[:, number])
+        out.append(np.concatenate(got, axis=1) if got else np.zeros((0, 0), np.uint64))
+    return out
 
-    sent = blocked.groupBy("block").applyInArrow(send, "bucket int, block bigint, fps binary, payload binary")
-    answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, "block bigint, bucket int, numbers binary, words binary")
+
+def finish(blocked: DataFrame, answers: DataFrame, rounds: int, result: Callable[[int, Docs, list[np.ndarray]], pa.Table], schema: str) -> DataFrame:
+    """result(block, its documents, words of the rounds) of every block."""
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("bucket")
-        got = []
-        for numbers, words in zip(right["numbers"], right["words"]):
-            number = unpack(numbers.as_py(), np.uint32)
-            table = np.frombuffer(zstandard.decompress(words.as_py()), np.uint64)
-            table = table.reshape(-1, int(number.max(initial=0)) + 1)
-            got.append(table[:, number])
-        return finish(int(left["block"][0].as_py()), block_docs(left), np.concatenate(got, axis=1) if got else np.zeros((0, 0), np.uint64))
+        return result(int(left["block"][0].as_py()), block_docs(left), _answers(right, rounds))
 
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(end, schema)
 
 
+def detect(blocked: DataFrame, emit: Callable[[Docs], Emit], reduce: Reduce, result: Callable[[int, Docs, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """One round: result(block, its documents, words) of every block."""
+    answers = ask(blocked, lambda docs, _: emit(docs), reduce)
+    return finish(blocked, answers, 1, lambda block, docs, words: result(block, docs, words[0]), schema)
+
+
 def _bounds(buckets: int) -> np.ndarray:
     return np.array([(b << BITS) // buckets for b in range(buckets + 1)], dtype=np.uint64)

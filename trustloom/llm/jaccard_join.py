@@ -11,7 +11,9 @@ what remains of it can't reach the overlap needed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -47,23 +49,64 @@ def _need(t: float, a: int | np.ndarray, b: int | np.ndarray) -> np.ndarray:
     return np.ceil(t / (1 + t) * (np.asarray(a) + b) - 1e-9).astype(np.int64)
 
 
-def candidates(docs: DataFrame, n: int, t: float, key: str, text: str) -> DataFrame:
-    """A row for every document and meeting place of its prefix: its n-grams that other documents have too.
+def _distinct(docs: _exchange.Docs) -> tuple[np.ndarray, list[str], list[tuple[int, int]]]:
+    """Smallest keys, their texts, and (that key, other key) of equal texts. docs are sorted by key."""
+    keys, texts = docs
+    first: dict[str, int] = {}
+    same = set()
+    for k, t in zip(keys.tolist(), texts):
+        if first.setdefault(t, k) != k:
+            same.add((first[t], k))
+    own = list(first)
+    if len(own) > 1 << 16:
+        raise ValueError("a block holds more than 65536 texts")
+    return np.array([first[t] for t in own], dtype=np.int64), own, sorted(same)
+
 
-    Of an n-gram's documents the one of the smallest hash names its meeting
-    place, so those of a group of near copies mostly meet at one. The global
-    order puts n-grams without a second document first, then those whose
-    documents have several n-grams in common, by the logarithm of their number
-    of documents and by place; it is the same in every document.
+def candidates(docs: DataFrame, n: int, t: float, key: str, text: str) -> DataFrame:
+    """A row for every text and meeting place of its prefix: its n-grams that other candidates have too.
+
+    A text of x n-grams needs t x that others have. The first round of
+    questions finds the texts for which that holds, the second who of these has
+    which n-gram. Of an n-gram's texts the one of the smallest hash names its
+    meeting place, so those of a group of near copies mostly meet at one. The
+    global order puts n-grams without a second text first, then those whose
+    texts have several n-grams in common, by the logarithm of their number of
+    texts and by place; it is the same in every text. Equal texts are one;
+    rows of key -1 and size 0 tell of the others.
     """
 
-    def emit(docs: _exchange.Docs) -> tuple[np.ndarray, np.ndarray]:
-        f, d = _sets(docs[1], n)
-        if len(docs[1]) > 1 << 16:
-            raise ValueError("a block holds more than 65536 documents")
+    def all_sets(docs: _exchange.Docs, answers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        f, d = _sets(_distinct(docs)[1], n)
+        # a block asks once for what several of its texts have
+        each = np.unique(f)
+        return each, np.zeros(len(each), np.uint16)
+
+    def repeats(f: np.ndarray, payload: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(f)))
+        return np.repeat((size > 1).astype(np.uint32), size), np.arange(2, dtype=np.uint64)[:, None]
+
+    def live_sets(texts: list[str], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Repeated n-grams of the texts that have enough of them: fingerprints, texts; and all sizes."""
+        f, d = _sets(texts, n)
+        size = np.bincount(d, minlength=len(texts))
+        if not bits.size:
+            return f[:0], d[:0], size
+        each, back, many = np.unique(f, return_inverse=True, return_counts=True)
+        common = ((bits[0] > 0) | (many > 1))[back]
+        return *_enough(f, d, common, size), size
+
+    def _enough(f: np.ndarray, d: np.ndarray, common: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        live = np.bincount(d[common], minlength=len(size)) >= np.maximum(1, np.ceil(t * size - 1e-9))
+        keep = common & live[d]
+        return f[keep], d[keep]
+
+    def live(docs: _exchange.Docs, answers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        f, d, _ = live_sets(_distinct(docs)[1], answers[0])
         return f, d.astype(np.uint16)
 
-    def reduce(f: np.ndarray, doc: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def lists(f: np.ndarray, doc: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(f):
             return np.zeros(0, np.uint32), np.zeros((1, 2), np.uint64)
         start = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
@@ -71,7 +114,7 @@ def candidates(docs: DataFrame, n: int, t: float, key: str, text: str) -> DataFr
         who = _text.mix((block.astype(np.uint64) << np.uint64(16)) | doc)
         many = df > 1
         sig = (np.minimum(df, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (np.bitwise_xor.reduceat(who, start) & np.uint64(_SIG))
-        # equal lists of documents have equal numbers
+        # equal lists of texts have equal numbers
         both, number = np.unique(np.stack([sig[many], np.minimum.reduceat(who, start)[many]], axis=1), axis=0, return_inverse=True)
         each = np.zeros(len(df), np.uint32)
         each[many] = number.ravel() + 1
@@ -79,34 +122,37 @@ def candidates(docs: DataFrame, n: int, t: float, key: str, text: str) -> DataFr
 
     arrow = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int32()), ("h", pa.int64()), ("grams", pa.binary())])
 
-    def finish(block: int, docs: _exchange.Docs, answers: np.ndarray) -> pa.Table:
-        keys, texts = docs
-        out: list[tuple] = []
-        if answers.size:
-            f, d = _sets(texts, n)
-            size = np.bincount(d, minlength=len(keys))
-            sig, place = answers
-            common = sig > 0
-            live = np.bincount(d[common], minlength=len(keys)) >= np.maximum(1, np.ceil(t * size - 1e-9))
-            keep = common & live[d]
-            o = np.flatnonzero(keep)
-            o = o[np.argsort(d[o], kind="stable")]
+    def result(block: int, docs: _exchange.Docs, answers: list[np.ndarray]) -> pa.Table:
+        keys, texts, same = _distinct(docs)
+        bits, words = answers
+        f, d, size = live_sets(texts, bits)
+        place_of = dict(zip(keys.tolist(), range(len(keys))))
+        out: list[tuple] = [(-1, b, int(size[place_of[a]]), a, b"") for a, b in same if size[place_of[a]]]
+        if words.size:
+            sig, place = words
+            keep = sig > 0
+            f, d, sig, place = f[keep], d[keep], sig[keep], place[keep]
+            o = np.argsort(d, kind="stable")
             f, d, sig, place = f[o], d[o], sig[o], place[o]
             for doc, lo, hi in zip(*_runs(d)):
+                least = int(np.ceil(t * size[doc] - 1e-9))
+                prefix = hi - lo - least + 1
+                if prefix < 1:
+                    continue
                 g = f[lo:hi]
-                lists, first, many = np.unique(sig[lo:hi], return_index=True, return_counts=True)
+                kinds, first, many = np.unique(sig[lo:hi], return_index=True, return_counts=True)
                 at = place[lo:hi][first]
-                df = np.log2((lists >> np.uint64(40)).astype(float)).astype(int)
-                order = np.lexsort((lists, at, df, many < 4))
-                prefix = hi - lo - int(np.ceil(t * size[doc] - 1e-9)) + 1
+                df = np.log2((kinds >> np.uint64(40)).astype(float)).astype(int)
+                order = np.lexsort((kinds, at, df, many < 4))
                 used = order[: int(np.searchsorted(np.cumsum(many[order]), prefix)) + 1]
                 blob = _exchange.pack_sorted(g)
                 h = int(_text.mix(np.bitwise_xor.reduce(_text.mix(g)) + np.array([size[doc]], np.uint64))[0].view(np.int64))
-                out.extend((p, int(keys[doc]), int(size[doc]), h, blob) for p in np.unique(at[used]).view(np.int64).tolist())
+                out.extend((p, int(keys[doc]), int(size[doc]), h, blob) for p in (np.unique(at[used]) >> np.uint64(1)).astype(np.int64).tolist())
         return pa.Table.from_arrays([pa.array(c, type=s.type) for c, s in zip(zip(*out) if out else [[]] * 5, arrow)], schema=arrow)
 
-    blocked = _exchange.blocks(docs, F.col(f"`{key}`"), F.col(f"`{text}`"))
-    return _exchange.detect(blocked, emit, reduce, finish, _CANDIDATE)
+    blocked = _exchange.blocks(docs, F.col(f"`{key}`"), F.col(f"`{text}`"), by_text=True)
+    answers = _exchange.ask(blocked, live, lists, _exchange.ask(blocked, all_sets, repeats))
+    return _exchange.finish(blocked, answers, 2, result, _CANDIDATE)
 
 
 def _runs(d: np.ndarray) -> tuple[list[int], list[int], list[int]]:
@@ -114,114 +160,191 @@ def _runs(d: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     return d[start].tolist(), start.tolist(), np.append(start[1:], len(d)).tolist()
 
 
-def trie_join(sets: list[np.ndarray], sizes: list[int], t: float) -> Iterator[tuple[int, int, int]]:
-    """(i, j, overlap), i < j, of all pairs whose similarity is at least t.
-
-    sets: sorted fingerprints that sets may share; sizes: of the whole sets.
-    """
-    flat = np.concatenate(sets)
-    each, code, many = np.unique(flat, return_inverse=True, return_counts=True)
-    rank = np.empty(len(each), dtype=np.int64)
-    rank[np.argsort(-many, kind="stable")] = np.arange(len(each))
-    paths = [np.sort(p) for p in np.split(rank[code], np.cumsum([len(s) for s in sets])[:-1])]
-    order = sorted(range(len(sets)), key=lambda i: paths[i].astype(">i4").tobytes())  # depth first order of the tree
-    paths = [paths[i] for i in order]
-    shared = [0] * len(paths)  # depth at which a path leaves the one before it
-    for i in range(1, len(paths)):
-        a, b = paths[i - 1], paths[i]
-        m = min(len(a), len(b))
-        differ = np.flatnonzero(a[:m] != b[:m])
-        shared[i] = int(differ[0]) if len(differ) else m
-    total = [sizes[i] for i in order]
-    smallest = min(total)
-    longest = max(len(p) for p in paths)
-    have = np.zeros(len(each), dtype=bool)
-    overlap = np.zeros(longest + 1, dtype=np.int64)
-    for j in range(1, len(paths)):
-        probe = paths[j]
-        have[probe] = True
-        least = int(_need(t, smallest, total[j]))
-        depth = 0  # up to here `overlap` holds for the current path
-        pruned = longest + 1  # paths that share more than this with the pruned one are below it
-        for i in range(j):
-            lcp = shared[i]
-            if lcp > pruned:
-                continue
-            pruned = longest + 1
-            depth = min(depth, lcp) if i else 0
-            at, path = depth, paths[i]
-            so_far = int(overlap[at])
-            need = max(least, int(_need(t, total[i], total[j])))
-            if so_far + min(len(probe) - so_far, longest - at) < least:
-                pruned = at
+class Links:
+    """Which members of a growing set are connected."""
+
+    def __init__(self):
+        self.up: list[int] = []
+        self.groups = 0
+
+    def add(self) -> None:
+        self.up.append(len(self.up))
+        self.groups += 1
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.find(i), self.find(j)
+        if i != j:
+            self.up[max(i, j)] = min(i, j)
+            self.groups -= 1
+
+
+class Trie:
+    """Sets as paths from the most frequent element on, in depth first order."""
+
+    def __init__(self, sets: list[np.ndarray], sizes: list[int]):
+        self.elements, code, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self.rank = np.empty(len(self.elements), dtype=np.int64)
+        self.rank[np.argsort(-many, kind="stable")] = np.arange(len(self.elements))
+        paths = [np.sort(p) for p in np.split(self.rank[code], np.cumsum([len(s) for s in sets])[:-1])]
+        self.order = sorted(range(len(sets)), key=lambda i: paths[i].astype(">i4").tobytes())
+        self.paths = [paths[i] for i in self.order]
+        self.sizes = [sizes[i] for i in self.order]
+        self.shared = [0] * len(paths)  # depth at which a path leaves the one before it
+        for i in range(1, len(paths)):
+            self.shared[i] = _agree(self.paths[i - 1], self.paths[i])
+        self.longest = max(len(p) for p in paths)
+        self.smallest = min(sizes)
+        self.have = np.zeros(len(self.elements), dtype=bool)
+        self.overlap = np.zeros(self.longest + 1, dtype=np.int64)
+
+    def probe(self, s: np.ndarray, size: int, t: float, until: int, links: Links | None = None, base: int = 0, who: int = 0) -> Iterator[tuple[int, int]]:
+        """(number of the set, overlap) of the similar ones among the first `until` paths.
+
+        With links, sets that are connected to the probe are passed over, and
+        the walk ends when all are.
+        """
+        i = np.minimum(np.searchsorted(self.elements, s), len(self.elements) - 1)
+        own = self.rank[i[self.elements[i] == s]]
+        self.have[own] = True
+        least = int(_need(t, self.smallest, size))
+        depth, overlap = 0, self.overlap
+        pruned = self.longest + 1  # paths that share more than this with the pruned one lie below it
+        for i in range(until):
+            if i:
+                depth = min(depth, self.shared[i])
+                if self.shared[i] > pruned:
+                    continue
+            pruned = self.longest + 1
+            if links is not None:
+                if links.groups == 1:
+                    break
+                if links.find(base + self.order[i]) == links.find(who):
+                    continue
+            so_far = int(overlap[depth])
+            if so_far + min(len(own) - so_far, self.longest - depth) < least:
+                pruned = depth
                 continue
-            new = so_far + np.cumsum(have[path[at:]])
-            overlap[at + 1 : len(path) + 1] = new
-            depth = len(path)
+            path = self.paths[i]
+            new = so_far + np.cumsum(self.have[path[depth:]])
+            overlap[depth + 1 : len(path) + 1] = new
             got = int(new[-1]) if len(new) else so_far
-            if got >= need:
-                yield order[i], order[j], got
-        have[probe] = False
+            depth = len(path)
+            if got and got >= int(_need(t, self.sizes[i], size)):
+                yield self.order[i], got
+                if links is not None:
+                    links.join(base + self.order[i], who)
+        self.have[own] = False
+
+
+def _agree(a: np.ndarray, b: np.ndarray) -> int:
+    m = min(len(a), len(b))
+    differ = np.flatnonzero(a[:m] != b[:m])
+    return int(differ[0]) if len(differ) else m
+
+
+CHUNK = 2000
+
 
+def trie_join(sets: Sequence[np.ndarray], sizes: Sequence[int], t: float, connect: bool = False, chunk: int = CHUNK) -> Iterator[tuple[int, int, int]]:
+    """(i, j, overlap) of all pairs whose similarity is at least t, each pair once.
 
-def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    sets: sorted fingerprints that sets may share; sizes: of the whole sets. A
+    tree holds `chunk` sets, so memory doesn't grow with their number.
+    connect: only as many pairs as connect what all would.
+    """
+    links = Links() if connect else None
+    tries: list[tuple[int, int]] = []
+    for lo in range(0, len(sets), chunk):
+        hi = min(lo + chunk, len(sets))
+        mine, own = [sets[i] for i in range(lo, hi)], list(sizes[lo:hi])
+        trie = Trie(mine, own)
+        if links is not None:
+            for _ in range(lo, hi):
+                links.add()
+        for place, j in enumerate(trie.order):
+            for i, c in trie.probe(mine[j], own[j], t, place, links, lo, lo + j):
+                yield lo + i, lo + j, c
+        for a, b in tries:
+            if links is not None and links.groups == 1:
+                break
+            earlier = Trie([sets[i] for i in range(a, b)], list(sizes[a:b]))
+            for j in range(hi - lo):
+                for i, c in earlier.probe(mine[j], own[j], t, b - a, links, a, lo + j):
+                    yield a + i, lo + j, c
+        tries.append((lo, hi))
+
+
+class _Packed(Sequence):
+    """Sets that are unpacked when they are asked for."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.blobs = blobs
+
+    def __len__(self) -> int:
+        return len(self.blobs)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return _exchange.unpack_sorted(self.blobs[i])
+
+
+def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", connect: bool = False) -> DataFrame:
     """(doc_a, doc_b, common, size_a, size_b), doc_a < doc_b, of documents whose n-gram sets are similar.
 
     Sets are of word n-grams, whatever the case and punctuation; a document of
     1 to n - 1 words has one n-gram, all of it. common / (size_a + size_b -
     common) is at least threshold. Documents of equal sets count as one: the
     smallest key stands for them in other pairs, and each other one is paired
-    with it. All such pairs are found. Null keys, null texts and texts without
-    words have no pairs; rows that repeat key and text have none with each
-    other. Only the two named columns are read.
+    with it. All such pairs are found; with connect only as many as connect the
+    same documents, directly or through others. Null keys, null texts and texts
+    without words have no pairs; rows that repeat key and text have none with
+    each other. Only the two named columns are read.
     """
     spark = docs.sparkSession
-    rows = candidates(docs, n, threshold, key, text).repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "h", "doc_id")
-
-    arrow = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("common", pa.int64()), ("size_a", pa.int64()), ("size_b", pa.int64())])
+    rows = candidates(docs, n, threshold, key, text).repartition(shuffle_partitions(spark), "key", F.when(F.col("key") < 0, F.col("h"))).sortWithinPartitions("key", "h", "doc_id")
+    arrow = pa.schema([(c, pa.int64()) for c in ("doc_a", "doc_b", "common", "size_a", "size_b")])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int, int, int]] = []
-        now, ids, sizes, blobs, last = None, [], [], [], {}
-
-        def close() -> None:
-            if len(ids) > 1:
-                for i, j, c in trie_join([_exchange.unpack_sorted(b) for b in blobs], sizes, threshold):
-                    a, b = (i, j) if ids[i] < ids[j] else (j, i)
-                    if ids[a] != ids[b]:
-                        out.append((ids[a], ids[b], c, sizes[a], sizes[b]))
 
         def flush() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], schema=arrow)
             out.clear()
             return batch
 
-        for batch in batches:
-            for k, doc, size, h, blob in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                if k != now:
-                    close()
-                    now, ids, sizes, blobs, last = k, [], [], [], {}
-                    hash_now = None
-                if h != hash_now:  # equal sets come one after the other
-                    last, hash_now = {}, h
-                first = last.get((size, blob))
-                if first is not None:
-                    if first != doc:
-                        # the whole sets may still differ where nobody else has their n-grams
-                        grams = len(_exchange.unpack_sorted(blob))
-                        if grams == size:
-                            out.append((first, doc, size, size, size))
-                            continue
+        for now, group in groupby((row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in range(5)))), key=itemgetter(0)):
+            if now < 0:  # equal texts
+                for _, doc, size, first, _ in group:
+                    out.append((first, doc, size, size, size))
+                    if len(out) >= 50_000:
+                        yield flush()
+                continue
+            ids: list[int] = []
+            sizes: list[int] = []
+            blobs: list[bytes] = []
+            for _, equal in groupby(group, key=itemgetter(3)):
+                whole: dict[tuple[int, bytes], int] = {}
+                for _, doc, size, _, blob in equal:
+                    first = whole.setdefault((size, blob), doc)
+                    # sets of which each n-gram is shared are equal if these are
+                    if first != doc and len(_exchange.unpack_sorted(blob)) == size:
+                        out.append((first, doc, size, size, size))
                     else:
-                        continue
-                else:
-                    last[(size, blob)] = doc
-                ids.append(doc)
-                sizes.append(size)
-                blobs.append(blob)
-            if len(out) > 50_000:
-                yield flush()
-        close()
+                        ids.append(doc)
+                        sizes.append(size)
+                        blobs.append(blob)
+            if len(ids) > 1:
+                for i, j, c in trie_join(_Packed(blobs), sizes, threshold, connect):
+                    a, b = (i, j) if ids[i] < ids[j] else (j, i)
+                    if ids[a] != ids[b]:
+                        out.append((ids[a], ids[b], c, sizes[a], sizes[b]))
+                    if len(out) >= 50_000:
+                        yield flush()
         yield flush()
 
     return rows.mapInArrow(join, PAIRS).distinct()
