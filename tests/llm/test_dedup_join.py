@@ -117,3 +117,8 @@ def test_exact_dedup(spark):
 
 def test_join_empty(spark):
     assert jaccard_join(frame(spark, []).where("false")).collect() == []
+
+
+def test_many_short_texts(spark):
+    df = spark.range(150_000).selectExpr("id as doc_id", "concat('w', id div 2, ' x') as text")
+    assert jaccard_join(df, 1, 0.9).count() == 75_000

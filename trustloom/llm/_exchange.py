@@ -22,6 +22,8 @@ from ._common import shuffle_partitions
 #: Fingerprints have so many bits. What they decide is checked on contents, or errs with probability n / 2**48.
 BITS = 48
 BLOCK_BYTES = 8 << 20
+#: Short documents make a block by their number, which must stay under 65536.
+BLOCK_DOCS = 30_000
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -58,7 +60,8 @@ def blocks(docs: DataFrame, key: Column, text: Column, block_bytes: int = BLOCK_
     by_text: equal texts come to the same block.
     """
     rows = docs.select(key.cast("bigint").alias("k"), text.alias("t")).where("k is not null and t is not null")
-    n = block_count(rows.agg(F.sum(F.octet_length("t"))).first()[0], block_bytes)
+    size, count = rows.agg(F.sum(F.octet_length("t")), F.count("*")).first()
+    n = max(block_count(size, block_bytes), block_count(count, BLOCK_DOCS))
     return pack_blocks(rows.withColumn("block", F.pmod(F.xxhash64("t" if by_text else "k"), F.lit(n)).cast("bigint")), n)
 
 
