@@ -26,7 +26,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are connected by near-copy pairs, that of the smallest doc_id."""
-    groups = jaccard_join.components(jaccard_join.jaccard_join(docs))
+    groups = jaccard_join.components(jaccard_join.jaccard_join(docs, connect=True))
     drop = groups.where("doc_id <> group_id").select("doc_id")
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
 
