@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import _exchange, _text
 
 LEAST = 8
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 EXTRACTED = "page_id bigint, text string, n_tokens bigint, n_removed bigint"
 
 _DROP = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template|svg|iframe|textarea)\b.*?(?:</\1\s*>|\Z)")
