@@ -111,3 +111,26 @@ def test_vocabulary_counts_everything(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, "b a"), (3, None)], "doc_id long, text string")
     top, total = lm_score.vocabulary(docs, 1, "text")
     assert total == 5 and top == [(int(np.array([word_hash("a")], np.uint64).view(np.int64)[0]), 3)]
+
+
+def test_lm_vocabulary_follows_the_corpus(spark):
+    words = [f"v{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(words[i * 10 : i * 10 + 10] * 6)) for i in range(300)] + [(1000 + i, f"once{i}") for i in range(50)], "doc_id long, text string")
+    m = lm_score.fit(docs)
+    assert len(m.words) == 3000 and len(m.r) == 3002  # every word of the corpus above the threshold has a row
+    known = m.ids(np.array([word_hash(w) for w in words], np.uint64))
+    assert len(set(known.tolist())) == 3000 and lm_score.UNKNOWN not in known
+    w = np.arange(len(m.r))
+    for a, b in ((5, 2900), (0, 1), (1, 1)):
+        assert abs(np.exp(m.log_prob(np.full(len(w), a), np.full(len(w), b), w)[w != lm_score.START]).sum() - 1) < 1e-4
+    assert m.log_prob(np.array([0]), np.array([0]), np.array([2500]))[0] < -4  # not the probability of all rare words together
+
+
+def test_lm_words_of_classes_are_learnt(spark):
+    docs = bigram_rows(spark, 2500).repartition(2)
+    m = lm_score.fit(docs, head=8)
+    assert len(m.q) > len(m.r)
+    w = np.array([lm_score.UNKNOWN, *range(2, len(m.r))])
+    assert abs(np.exp(m.log_prob(np.full(len(w), 30), np.full(len(w), 9), w)).sum() - 1) < 1e-4
+    s = lm_score.lm_score(docs, head=8).agg(F.sum("log_prob"), F.sum("n_words")).first()
+    assert -s[0] / s[1] < 2.2

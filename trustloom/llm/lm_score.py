@@ -1,10 +1,16 @@
 """LM scoring: a log-bilinear model trained with noise-contrastive estimation (operator 2).
 
+The vocabulary is every word of the corpus that occurs LEAST times, so it grows
+with the corpus. Every word has vectors of its own, as context and as outcome.
+The most frequent HEAD stand in one softmax together with classes of the others,
+a word of a class in a second one over its class, so probabilities are exactly
+normalised over the whole vocabulary at a cost of about its square root.
+
 Vocabulary and noise distribution come from the word counts of the whole
 corpus. Every task trains on all documents of its part, from the same start;
-the parameters are averaged by words trained on, in a tree. Scores are
-normalised over the vocabulary: batched matrix products give the logits of
-each distinct context once.
+the parameters are averaged by words trained on, in ranges of rows. Scores are
+normalised: batched matrix products give the logits of each distinct context
+once.
 """
 
 from __future__ import annotations
@@ -18,8 +24,11 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import _text
+from ._common import shuffle_partitions
 
-VOCABULARY, DIMENSION, NOISE, BATCH = 1024, 24, 32, 512
+LEAST, HEAD, DIMENSION, NOISE, BATCH = 5, 1024, 24, 32, 512
+#: Noise words of each word of a class; rows of parameters that are averaged together; words scored together.
+CLASS_NOISE, SPAN, SCORED = 8, 1024, 1 << 20
 CONTEXT = 2
 #: Numbers of the words that aren't in the vocabulary, and of the start of a document.
 UNKNOWN, START = 0, 1
@@ -27,56 +36,87 @@ UNKNOWN, START = 0, 1
 
 @dataclass
 class Model:
-    """words: sorted hashes; number[i]: that of words[i]. Scores are (c1*r[w1] + c2*r[w2]) @ q[w] + b[w]."""
+    """words: sorted hashes; number[i]: that of words[i]. Scores are (c1*r[w1] + c2*r[w2]) @ q[w] + b[w].
+
+    Words are numbered by frequency. Those from `head` on make classes of
+    `width`; q, b and noise have a row for each class after those of the words.
+    noise: of the head and the classes in all words, of another word in its class.
+    """
 
     words: np.ndarray
     number: np.ndarray
     noise: np.ndarray
+    head: int
+    width: int
     r: np.ndarray
     q: np.ndarray
     b: np.ndarray
     c: np.ndarray
 
+    @staticmethod
+    def start(words: np.ndarray, number: np.ndarray, noise: np.ndarray, head: int, width: int) -> Model:
+        n, rng = len(words) + 2, np.random.default_rng(0)
+        r, q = (rng.standard_normal((k, DIMENSION), np.float32) * np.float32(0.1) for k in (n, len(noise)))
+        b = np.log(np.maximum(noise, 1e-9)).astype(np.float32)
+        return Model(words, number, noise, head, width, r, q, b, np.ones((CONTEXT, DIMENSION), np.float32))
+
+    def first(self, w: np.ndarray) -> np.ndarray:
+        """Rows of q for words in the first softmax: their own or their class's."""
+        return np.where(w < self.head, w, len(self.r) + (w - self.head) // self.width)
+
     def ids(self, h: np.ndarray) -> np.ndarray:
         if not len(self.words):
             return np.full(len(h), UNKNOWN)
         i = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return np.where(self.words[i] == h, self.number[i], UNKNOWN)
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.q, self.b, self.c)]).astype(np.float32)
-
-    def load(self, flat: np.ndarray) -> Model:
-        cuts = np.cumsum([x.size for x in (self.r, self.q, self.b)])
-        parts = np.split(flat.astype(np.float32), cuts)
-        return Model(self.words, self.number, self.noise, *(p.reshape(x.shape) for p, x in zip(parts, (self.r, self.q, self.b, self.c))))
-
     def log_z(self, w1: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hidden vectors and log normalisers of contexts."""
         hidden = self.c[0] * self.r[w1] + self.c[1] * self.r[w2]
-        z = np.empty(len(w1), dtype=np.float32)
-        for lo in range(0, len(w1), 4096):
-            s = hidden[lo : lo + 4096] @ self.q.T + self.b
-            s[:, START] = -np.inf  # never follows anything
-            top = s.max(axis=1)
-            s -= top[:, None]
-            np.exp(s, out=s)
-            z[lo : lo + 4096] = np.log(s.sum(axis=1)) + top
-        return hidden, z
+        n = len(self.r)
+        b = np.concatenate([self.b[: self.head], self.b[n:]])
+        b[START] = -np.inf  # never follows anything
+        return hidden, _log_sum(hidden, np.concatenate([self.q[: self.head], self.q[n:]]), b)
 
     def log_prob(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log P(w | w2 w1), w1 the nearer word."""
-        n = len(self.b)
+        n = len(self.r)
         each, back = np.unique(w1.astype(np.int64) * n + w2, return_inverse=True)
         hidden, z = self.log_z(each // n, each % n)
         out = np.empty(len(w), dtype=np.float64)
+        first = self.first(w)
         for lo in range(0, len(w), 1 << 16):
             k = back[lo : lo + (1 << 16)]
-            v = w[lo : lo + (1 << 16)]
+            v = first[lo : lo + (1 << 16)]
             out[lo : lo + (1 << 16)] = np.einsum("ij,ij->i", hidden[k], self.q[v]) + self.b[v] - z[k]
+        tail = np.flatnonzero(w >= self.head)
+        tail = tail[np.argsort(w[tail], kind="stable")]
+        kind = (w[tail] - self.head) // self.width
+        edge = np.flatnonzero(np.diff(kind, prepend=-1, append=-1)) if len(kind) else kind
+        for a, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            i = tail[a:e]
+            at, own = np.unique(back[i], return_inverse=True)
+            lo = self.head + int(kind[a]) * self.width
+            hi = min(lo + self.width, n)
+            inside = _log_sum(hidden[at], self.q[lo:hi], self.b[lo:hi])
+            out[i] += np.einsum("ij,ij->i", hidden[back[i]], self.q[w[i]]) + self.b[w[i]] - inside[own]
         return out
 
 
+def _log_sum(hidden: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums of exp(hidden @ q.T + b)."""
+    z = np.empty(len(hidden), dtype=np.float32)
+    step = max(1, (1 << 20) // len(b))
+    for lo in range(0, len(hidden), step):
+        s = hidden[lo : lo + step] @ q.T
+        s += b
+        top = s.max(axis=1)
+        s -= top[:, None]
+        np.exp(s, out=s)
+        z[lo : lo + step] = np.log(s.sum(axis=1)) + top
+    return z
+
+
 def contexts(m: Model, texts: list[str | None]) -> Iterator[tuple[np.ndarray, ...]]:
     """Per chunk: document, word before, word before that, word."""
     for w in _text.words(texts):
@@ -90,27 +130,37 @@ def contexts(m: Model, texts: list[str | None]) -> Iterator[tuple[np.ndarray, ..
 
 
 class Trainer:
-    """Adagrad on the NCE loss; a batch shares its noise words, drawn from the unigram distribution."""
+    """Adagrad on the NCE loss; a batch shares its noise words, drawn from the unigram distribution.
+
+    A word of a class also has noise words of its own, from its class.
+    """
 
     def __init__(self, m: Model, rate: float, seed: int):
         self.m, self.rate = m, rate
         self.rng = np.random.default_rng(seed)
-        self.cumulative = np.cumsum(m.noise)
+        n = len(m.r)
+        self.top = np.concatenate([np.arange(m.head), np.arange(n, len(m.noise))])
+        self.cumulative = np.cumsum(m.noise[self.top])
+        self.inside = np.cumsum(m.noise[m.head : n])  # of class k: from k to k + 1
         self.log_noise = np.log(np.maximum(m.noise, 1e-9)).astype(np.float32)
         self.square = [np.full_like(x, 1e-2) for x in (m.r, m.q, m.b, m.c)]
+        self.used = [np.zeros(len(x), dtype=bool) for x in (m.r, m.q)]
         self.seen = 0
 
-    def _apply(self, x: np.ndarray, square: np.ndarray, g: np.ndarray) -> None:
-        square += g * g
-        x -= self.rate * g / np.sqrt(square)
+    def _apply(self, k: int, i: np.ndarray | slice, g: np.ndarray) -> None:
+        x, square = (self.m.r, self.m.q, self.m.b, self.m.c)[k], self.square[k]
+        s = square[i] + g * g
+        square[i] = s
+        x[i] -= self.rate * g / np.sqrt(s)
 
     def step(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> float:
         m, k = self.m, NOISE
-        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(k) * self.cumulative[-1]), len(m.b) - 1)
-        r1, r2, qw, qn = m.r[w1], m.r[w2], m.q[w], m.q[noise]
+        noise = self.top[np.minimum(np.searchsorted(self.cumulative, self.rng.random(k) * self.cumulative[-1]), len(self.top) - 1)]
+        first = m.first(w)
+        r1, r2, qw, qn = m.r[w1], m.r[w2], m.q[first], m.q[noise]
         hidden = m.c[0] * r1 + m.c[1] * r2
         log_k = np.float32(np.log(k))
-        up = np.einsum("ij,ij->i", hidden, qw) + m.b[w] - self.log_noise[w] - log_k
+        up = np.einsum("ij,ij->i", hidden, qw) + m.b[first] - self.log_noise[first] - log_k
         down = hidden @ qn.T + (m.b[noise] - self.log_noise[noise] - log_k)
         up, down = np.clip(up, -30, 30), np.clip(down, -30, 30)
         gu = -1 / (1 + np.exp(up))  # d loss / d score of the word
@@ -119,24 +169,58 @@ class Trainer:
         gu *= scale
         gd *= scale
         gh = gu[:, None] * qw + gd @ qn
-        n, d = m.q.shape
+        rows, gq, gb = [first, noise], [gu[:, None] * hidden, gd.T @ hidden], [gu, gd.sum(axis=0)]
+        loss = float(np.logaddexp(0, -up).sum() + np.logaddexp(0, down).sum())
+        tail = np.flatnonzero(w >= m.head)
+        if len(tail):
+            v, h = w[tail], hidden[tail]
+            kind = (v - m.head) // m.width
+            at = np.searchsorted(self.inside, kind[:, None] + self.rng.random((len(v), CLASS_NOISE)), side="right") + m.head
+            lo = (m.head + kind * m.width)[:, None]
+            at = np.clip(at, lo, np.minimum(lo + m.width, len(m.r)) - 1)
+            qv, qa = m.q[v], m.q[at]
+            log_k = np.float32(np.log(CLASS_NOISE))
+            up = np.einsum("ij,ij->i", h, qv) + m.b[v] - self.log_noise[v] - log_k
+            down = (qa @ h[:, :, None])[:, :, 0] + (m.b[at] - self.log_noise[at] - log_k)
+            up, down = np.clip(up, -30, 30), np.clip(down, -30, 30)
+            gu, gd = -scale / (1 + np.exp(up)), scale / (1 + np.exp(-down))
+            gh[tail] += gu[:, None] * qv + (gd[:, None, :] @ qa)[:, 0]
+            rows += [v, at.ravel()]
+            gq += [gu[:, None] * h, (gd[:, :, None] * h[:, None, :]).reshape(-1, h.shape[1])]
+            gb += [gu, gd.ravel()]
+            loss += float(np.logaddexp(0, -up).sum() + np.logaddexp(0, down).sum())
+        d = m.q.shape[1]
         lane = np.arange(d)
-        sum_rows = lambda i, g: np.bincount((i[:, None] * d + lane).ravel(), weights=g.ravel(), minlength=n * d).reshape(n, d).astype(np.float32)
-        gq = sum_rows(w, gu[:, None] * hidden)
-        np.add.at(gq, noise, gd.T @ hidden)
-        gb = np.bincount(w, weights=gu, minlength=n).astype(np.float32)
-        np.add.at(gb, noise, gd.sum(axis=0))
-        gr = sum_rows(w1, m.c[0] * gh) + sum_rows(w2, m.c[1] * gh)
+        sum_rows = lambda i, g, n: np.bincount((i[:, None] * d + lane).ravel(), weights=g.ravel(), minlength=n * d).reshape(n, d).astype(np.float32)
+        each, back = np.unique(np.concatenate(rows), return_inverse=True)
+        context, of = np.unique(np.concatenate([w1, w2]), return_inverse=True)
         gc = np.stack([(gh * r1).sum(axis=0), (gh * r2).sum(axis=0)])
-        for x, s, g in zip((m.r, m.q, m.b, m.c), self.square, (gr, gq, gb, gc)):
-            self._apply(x, s, g)
+        gr = sum_rows(of, np.concatenate([m.c[0] * gh, m.c[1] * gh]), len(context))
+        self._apply(0, context, gr)
+        self._apply(1, each, sum_rows(back, np.concatenate(gq), len(each)))
+        self._apply(2, each, np.bincount(back, weights=np.concatenate(gb), minlength=len(each)).astype(np.float32))
+        self._apply(3, slice(None), gc)
+        self.used[0][context] = True
+        self.used[1][each] = True
         self.seen += len(w)
-        return float(np.logaddexp(0, -up).sum() + np.logaddexp(0, down).sum()) / len(w)
+        return loss / len(w)
+
+    def trained(self) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """(range, words trained on, rows, their values) of the parameters that changed; range -1 is c."""
+        yield -1, self.seen, np.zeros(1, np.int64).tobytes(), self.m.c.tobytes()
+        for k, x in enumerate((self.m.r, np.column_stack([self.m.q, self.m.b]))):
+            i = np.flatnonzero(self.used[k])
+            for part in np.split(i, np.flatnonzero(np.diff(i // SPAN)) + 1) if len(i) else []:
+                yield k << 40 | int(part[0]) // SPAN, self.seen, (part % SPAN).tobytes(), x[part].tobytes()
+
 
+def vocabulary(docs: DataFrame, size: int | None, text: str, least: int = 1) -> tuple[list[tuple[int, int]], int]:
+    """Words that occur `least` times as (hash, count), most frequent first, at most `size` if given, and the count of all, over all documents."""
+    h, n, total = _counted(docs, size, text, least)
+    return list(zip(h.tolist(), n.tolist())), total
 
-def vocabulary(docs: DataFrame, size: int, text: str) -> tuple[list[tuple[int, int]], int]:
-    """The most frequent words as (hash, count), and the count of all, over all documents."""
 
+def _counted(docs: DataFrame, size: int | None, text: str, least: int) -> tuple[np.ndarray, np.ndarray, int]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             h = [w.hashes for w in _text.words(pdf["t"].tolist())]
@@ -145,57 +229,91 @@ def vocabulary(docs: DataFrame, size: int, text: str) -> tuple[list[tuple[int, i
 
     counts = docs.select(F.col(f"`{text}`").alias("t")).where("t is not null").mapInPandas(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     sums = Observation()
-    rows = counts.observe(sums, F.sum("n").alias("all")).orderBy(F.desc("n"), "h").limit(size).collect()
-    return [(int(h), int(n)) for h, n in rows], int(sums.get["all"] or 0)
+    top = counts.observe(sums, F.sum("n").alias("all")).where(F.col("n") >= least)
+    rows = (top if size is None else top.orderBy(F.desc("n"), "h").limit(size)).toArrow()
+    h, n = (rows[c].to_numpy().astype(np.int64) for c in ("h", "n"))
+    order = np.lexsort((h, -n))
+    return h[order], n[order], int(sums.get["all"] or 0)
 
 
-def fit(docs: DataFrame, size: int = VOCABULARY, rate: float = 0.15, text: str = "text") -> Model:
-    """Train on every document; without words the model knows only UNKNOWN."""
+def fit(docs: DataFrame, size: int | None = None, rate: float = 0.15, text: str = "text", least: int = LEAST, head: int = HEAD) -> Model:
+    """Train on every document; without words the model knows only UNKNOWN. size: at most so many words; None: all."""
     spark = docs.sparkSession
-    top, total = vocabulary(docs, size - 2, text)
-    h = np.array([w for w, _ in top], dtype=np.int64).view(np.uint64)
+    top, counts, total = _counted(docs, None if size is None else size - 2, text, least)
+    h = top.view(np.uint64)
     order = np.argsort(h)
-    count = np.zeros(len(top) + 2)
-    count[2:] = [n for _, n in top]
+    count = np.concatenate([np.zeros(2), counts])
     count[UNKNOWN] = max(total - count.sum(), 1)
-    noise = count / count.sum()
-    rng = np.random.default_rng(0)
-    shape = (len(count), DIMENSION)
-    r, q = (rng.normal(0, 0.1, shape).astype(np.float32) for _ in range(2))
-    b = np.log(np.maximum(noise, 1e-9)).astype(np.float32)
-    m = Model(h[order], order + 2, noise, r, q, b, np.ones((CONTEXT, DIMENSION), np.float32))
-    shared = spark.sparkContext.broadcast(m)
+    head = min(head, len(count))
+    width = max(1, int(np.ceil(np.sqrt(len(count) - head))))
+    kind = np.arange(len(count) - head) // width
+    classes = np.bincount(kind, weights=count[head:])
+    noise = np.concatenate([count[:head] / count.sum(), count[head:] / classes[kind], classes / count.sum()])
+    start = h[order], order + 2, noise, head, width
+    shared = spark.sparkContext.broadcast(start)
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = Model.start(*shared.value)
         t: Trainer | None = None
         for pdf in batches:
-            for _, w1, w2, w in contexts(shared.value, pdf["t"].tolist()):
+            for _, w1, w2, w in contexts(m, pdf["t"].tolist()):
                 if t is None:
-                    t = Trainer(shared.value.load(shared.value.flat()), rate, len(w))
+                    t = Trainer(m, rate, len(w))
                 mixed = t.rng.permutation(len(w))
                 for lo in range(0, len(w), BATCH):
                     i = mixed[lo : lo + BATCH]
                     t.step(w1[i], w2[i], w[i])
         if t is not None and t.seen:
-            yield pd.DataFrame({"n": [t.seen], "flat": [t.m.flat().tobytes()]})
+            for row in t.trained():
+                yield pd.DataFrame([row], columns=["part", "n", "at", "x"])
 
-    def average(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf["n"].to_numpy(float)
-        flat = sum(np.frombuffer(f, np.float32).astype(float) * x for f, x in zip(pdf["flat"], n)) / n.sum()
-        return pd.DataFrame({"n": [int(n.sum())], "flat": [flat.astype(np.float32).tobytes()]})
+    def average(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a range's rows come one after the other
+        now, weight, total = None, np.zeros(SPAN), np.zeros((SPAN, 1))
 
-    parts = docs.select(F.col(f"`{text}`").alias("t")).where("t is not null").mapInPandas(train, "n bigint, flat binary")
-    # means of about 32 models each; the driver gets one for each 32 tasks
-    groups = max(1, parts.rdd.getNumPartitions() // 32)
-    means = parts.groupBy((F.monotonically_increasing_id() / (1 << 33)).cast("long") % groups).applyInPandas(average, "n bigint, flat binary").toPandas()
-    return m.load(np.frombuffer(average(means)["flat"][0], np.float32)) if len(means) else m
+        def mean() -> pd.DataFrame:
+            i = np.flatnonzero(weight)
+            x = (total[i] / weight[i][:, None]).astype(np.float32)
+            return pd.DataFrame([(now, weight[i].tobytes(), i.tobytes(), x.tobytes())], columns=["part", "n", "at", "x"])
+
+        for pdf in batches:
+            for part, n, at, x in zip(pdf["part"].tolist(), pdf["n"].tolist(), pdf["at"], pdf["x"]):
+                i = np.frombuffer(at, np.int64)
+                x = np.frombuffer(x, np.float32).reshape(len(i), -1)
+                if part != now:
+                    if now is not None:
+                        yield mean()
+                    now, weight, total = part, np.zeros(SPAN), np.zeros((SPAN, x.shape[1]))
+                weight[i] += n
+                total[i] += n * x.astype(float)
+        if now is not None:
+            yield mean()
+
+    trained = docs.select(F.col(f"`{text}`").alias("t")).where("t is not null").mapInPandas(train, "part bigint, n bigint, at binary, x binary")
+    means = trained.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part").mapInPandas(average, "part bigint, n binary, at binary, x binary").toArrow()
+    m = Model.start(*start)
+    parts = means["part"].to_pylist()
+    if parts:
+        all_words = np.frombuffer(means["n"][parts.index(-1)].as_py(), float)[0]
+        for part, n, at, x in zip(parts, means["n"], means["at"], means["x"]):
+            weight, i = np.frombuffer(n.as_py(), float), np.frombuffer(at.as_py(), np.int64)
+            x = np.frombuffer(x.as_py(), np.float32).reshape(len(i), -1)
+            if part < 0:
+                m.c[:] = x.reshape(m.c.shape)
+                continue
+            # tasks that left a row as it was count with its start
+            i, share = i + (part & (1 << 40) - 1) * SPAN, (weight / all_words).astype(np.float32)[:, None]
+            for old, new in ((m.r, x),) if not part >> 40 else ((m.q, x[:, :-1]), (m.b[:, None], x[:, -1:])):
+                old[i] += share * (new - old[i])
+    return m
 
 
 def lm_score(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(doc_id, n_words, log_prob, perplexity) of every row of docs.
 
     log_prob sums the natural log-probabilities of the words, each given the
-    two before it; all words outside the vocabulary are one. perplexity is
+    two before it; words that the corpus has fewer than `least` times are one
+    word together. perplexity is
     exp(-log_prob / n_words), null without words; then log_prob is 0. A null
     text has nulls. Both are rounded to four places. Keys are passed through,
     null or repeated; equal texts get equal scores. Only the two named columns
@@ -208,11 +326,21 @@ def lm_score(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in batches:
             n, s = np.zeros(len(t), np.int64), np.zeros(len(t))
-            got = list(contexts(shared.value, t.tolist()))
-            if got:
+            got: list[tuple[np.ndarray, ...]] = []
+
+            def score() -> None:
                 doc, w1, w2, w = (np.concatenate(x) for x in zip(*got))
+                got.clear()
                 p = shared.value.log_prob(w1, w2, w)
-                n, s = np.bincount(doc, minlength=len(t)), np.bincount(doc, weights=p, minlength=len(t))
+                n[:] += np.bincount(doc, minlength=len(t))
+                s[:] += np.bincount(doc, weights=p, minlength=len(t))
+
+            for some in contexts(shared.value, t.tolist()):
+                got.append(some)
+                if sum(len(g[0]) for g in got) >= SCORED:
+                    score()
+            if got:
+                score()
             yield pd.DataFrame({"n_words": n, "log_prob": s})
 
     some = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").isNotNull().alias("ok"), run(F.col(f"`{text}`")).alias("x"))
