@@ -122,3 +122,11 @@ def test_join_empty(spark):
 def test_many_short_texts(spark):
     df = spark.range(150_000).selectExpr("id as doc_id", "concat('w', id div 2, ' x') as text")
     assert jaccard_join(df, 1, 0.9).count() == 75_000
+
+
+def test_copies_are_paired_with_the_smallest_key_of_the_set(spark):
+    same, near = "a b c d e f g", "a b c d e f z"
+    rows = [(3, same.upper() + "!"), (5, same), (7, same), (8, near), (9, near), (2, "x y z"), (4, "x y z"), (1, "X, y z"), (6, "p q r s"), (10, "p q r s"), (7, "p q r s")]
+    got = {tuple(x) for x in jaccard_join(frame(spark, rows), 2, 0.5).collect()}
+    assert got == brute(rows, 2, 0.5)
+    assert {(3, 5, 6, 6, 6), (3, 7, 6, 6, 6), (1, 2, 2, 2, 2), (1, 4, 2, 2, 2)} <= got

@@ -25,7 +25,7 @@ from ._common import cut, shuffle_partitions
 
 NGRAM, THRESHOLD = 3, 0.5
 _SIG = (1 << 40) - 1
-_CANDIDATE = "key bigint, doc_id bigint, size int, h bigint, grams binary"
+_CANDIDATE = "key bigint, doc_id bigint, size int, h bigint, first bigint, grams binary"
 PAIRS = "doc_a bigint, doc_b bigint, common bigint, size_a bigint, size_b bigint"
 
 
@@ -50,17 +50,21 @@ def _need(t: float, a: int | np.ndarray, b: int | np.ndarray) -> np.ndarray:
 
 
 def _distinct(docs: _exchange.Docs) -> tuple[np.ndarray, list[str], list[tuple[int, int]]]:
-    """Smallest keys, their texts, and (that key, other key) of equal texts. docs are sorted by key."""
+    """Smallest keys, their texts, and (number of the text, other key) of equal texts. docs are sorted by key."""
     keys, texts = docs
-    first: dict[str, int] = {}
+    number: dict[str, int] = {}
+    firsts: list[int] = []
     same = set()
     for k, t in zip(keys.tolist(), texts):
-        if first.setdefault(t, k) != k:
-            same.add((first[t], k))
-    own = list(first)
+        i = number.setdefault(t, len(firsts))
+        if i == len(firsts):
+            firsts.append(k)
+        elif firsts[i] != k:
+            same.add((i, k))
+    own = list(number)
     if len(own) > 1 << 16:
         raise ValueError("a block holds more than 65536 texts")
-    return np.array([first[t] for t in own], dtype=np.int64), own, sorted(same)
+    return np.array(firsts, dtype=np.int64), own, sorted(same)
 
 
 def candidates(docs: DataFrame, n: int, t: float, key: str, text: str) -> DataFrame:
@@ -72,8 +76,9 @@ def candidates(docs: DataFrame, n: int, t: float, key: str, text: str) -> DataFr
     meeting place, so those of a group of near copies mostly meet at one. The
     global order puts n-grams without a second text first, then those whose
     texts have several n-grams in common, by the logarithm of their number of
-    texts and by place; it is the same in every text. Equal texts are one;
-    rows of key -1 and size 0 tell of the others.
+    texts and by place; it is the same in every text. Equal texts are one; rows
+    without n-grams and with its key in first tell of the others, at one of its
+    meeting places if other texts may have the same set, else at key -1.
     """
 
     def all_sets(docs: _exchange.Docs, answers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,14 +125,14 @@ def candidates(docs: DataFrame, n: int, t: float, key: str, text: str) -> DataFr
         each[many] = number.ravel() + 1
         return np.repeat(each, df), np.concatenate([np.zeros((1, 2), np.uint64), both])
 
-    arrow = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int32()), ("h", pa.int64()), ("grams", pa.binary())])
+    arrow = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int32()), ("h", pa.int64()), ("first", pa.int64()), ("grams", pa.binary())])
 
     def result(block: int, docs: _exchange.Docs, answers: list[np.ndarray]) -> pa.Table:
         keys, texts, same = _distinct(docs)
         bits, words = answers
         f, d, size = live_sets(texts, bits)
-        place_of = dict(zip(keys.tolist(), range(len(keys))))
-        out: list[tuple] = [(-1, b, int(size[place_of[a]]), a, b"") for a, b in same if size[place_of[a]]]
+        out: list[tuple] = []
+        meet: dict[int, tuple[int, int]] = {}  # place and hash of the texts that others may equal as sets
         if words.size:
             sig, place = words
             keep = sig > 0
@@ -147,8 +152,15 @@ def candidates(docs: DataFrame, n: int, t: float, key: str, text: str) -> DataFr
                 used = order[: int(np.searchsorted(np.cumsum(many[order]), prefix)) + 1]
                 blob = _exchange.pack_sorted(g)
                 h = int(_text.mix(np.bitwise_xor.reduce(_text.mix(g)) + np.array([size[doc]], np.uint64))[0].view(np.int64))
-                out.extend((p, int(keys[doc]), int(size[doc]), h, blob) for p in (np.unique(at[used]) >> np.uint64(1)).astype(np.int64).tolist())
-        return pa.Table.from_arrays([pa.array(c, type=s.type) for c, s in zip(zip(*out) if out else [[]] * 5, arrow)], schema=arrow)
+                places = (np.unique(at[used]) >> np.uint64(1)).astype(np.int64).tolist()
+                out.extend((p, int(keys[doc]), int(size[doc]), h, None, blob) for p in places)
+                if len(g) == size[doc]:
+                    meet[doc] = places[0], h
+        for i, b in same:
+            if size[i]:
+                p, h = meet.get(i, (-1, int(keys[i])))
+                out.append((p, b, int(size[i]), h, int(keys[i]), b""))
+        return pa.Table.from_arrays([pa.array(c, type=s.type) for c, s in zip(zip(*out) if out else [[]] * 6, arrow)], schema=arrow)
 
     blocked = _exchange.blocks(docs, F.col(f"`{key}`"), F.col(f"`{text}`"), by_text=True)
     answers = _exchange.ask(blocked, live, lists, _exchange.ask(blocked, all_sets, repeats))
@@ -306,7 +318,7 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     each other. Only the two named columns are read.
     """
     spark = docs.sparkSession
-    rows = candidates(docs, n, threshold, key, text).repartition(shuffle_partitions(spark), "key", F.when(F.col("key") < 0, F.col("h"))).sortWithinPartitions("key", "h", "doc_id")
+    rows = candidates(docs, n, threshold, key, text).repartition(shuffle_partitions(spark), "key", F.when(F.col("key") < 0, F.col("h"))).sortWithinPartitions("key", "h", F.col("first").isNotNull(), "doc_id")
     arrow = pa.schema([(c, pa.int64()) for c in ("doc_a", "doc_b", "common", "size_a", "size_b")])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,9 +329,9 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
             out.clear()
             return batch
 
-        for now, group in groupby((row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in range(5)))), key=itemgetter(0)):
+        for now, group in groupby((row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in range(6)))), key=itemgetter(0)):
             if now < 0:  # equal texts
-                for _, doc, size, first, _ in group:
+                for _, doc, size, _, first, _ in group:
                     out.append((first, doc, size, size, size))
                     if len(out) >= 50_000:
                         yield flush()
@@ -329,8 +341,14 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
             blobs: list[bytes] = []
             for _, equal in groupby(group, key=itemgetter(3)):
                 whole: dict[tuple[int, bytes], int] = {}
-                for _, doc, size, _, blob in equal:
-                    first = whole.setdefault((size, blob), doc)
+                stands: dict[tuple[int, int], int] = {}  # smallest key of the set of a text
+                for _, doc, size, _, copied, blob in equal:
+                    if copied is not None:  # equal texts come after the sets
+                        out.append((stands[copied, size], doc, size, size, size))
+                        if len(out) >= 50_000:
+                            yield flush()
+                        continue
+                    first = stands[doc, size] = whole.setdefault((size, blob), doc)
                     # sets of which each n-gram is shared are equal if these are
                     if first != doc and len(_exchange.unpack_sorted(blob)) == size:
                         out.append((first, doc, size, size, size))
