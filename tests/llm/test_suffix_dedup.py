@@ -72,3 +72,17 @@ def test_against_brute_force(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup(df).collect() == []
+
+
+def test_left_neighbours_that_agree_in_some_bits(spark):
+    seen = {}
+    for i in range(100_000):
+        bits = _text.word_hash(f"left{i}") >> 48 | 1
+        if bits in seen:
+            break
+        seen[bits] = i
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(1, f"a left{seen[bits]} {passage} b"), (2, f"c left{i} {passage} d"), (3, f"e left{i} {passage} f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup(df, least=8).collect()
+    assert {(g.doc_id, g.start + k) for g in got for k in range(g.n_words - 7)} == brute(rows, 8)

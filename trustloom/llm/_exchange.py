@@ -107,11 +107,11 @@ _ANSWER = pa.schema([("block", pa.int64()), ("round", pa.int32()), ("bucket", pa
 _ANSWER_SQL = "block bigint, round int, bucket int, numbers binary, words binary"
 
 
-def ask(blocked: DataFrame, emit: Callable[[Docs, list[np.ndarray]], Emit], reduce: Reduce, earlier: DataFrame | None = None) -> DataFrame:
+def ask(blocked: DataFrame, emit: Callable[[Docs, list[np.ndarray]], Emit], reduce: Reduce, earlier: DataFrame | None = None, kind: type = np.uint16) -> DataFrame:
     """Answers of a round, for finish() or a further round.
 
     emit(documents, words of the earlier rounds) gives sorted fingerprints
-    below 2**BITS and their payload; reduce(fingerprints, payload, block) a
+    below 2**BITS and their payload, of type kind; reduce(fingerprints, payload, block) a
     number for each entry of a bucket, sorted by fingerprint, and the table
     [numbers, words] of 64-bit words that the numbers stand for, row 0 of zeros.
     """
@@ -138,7 +138,7 @@ def ask(blocked: DataFrame, emit: Callable[[Docs, list[np.ndarray]], Emit], redu
         size = np.array([len(f) for f in fps], dtype=np.int64)
         all_fps = np.concatenate(fps)
         del fps
-        payload = np.concatenate([unpack(b.as_py(), np.uint16) for b in table["payload"]])
+        payload = np.concatenate([unpack(b.as_py(), kind) for b in table["payload"]])
         order = np.argsort(all_fps, kind="stable")
         number, words = reduce(all_fps[order], payload[order], np.repeat(np.array(ids, dtype=np.int64), size)[order])
         result = np.empty(len(order), dtype=np.uint32)

@@ -145,7 +145,7 @@ def _windows(texts: list[str], least: int) -> Iterator[tuple[_text.Words, np.nda
         h, ptr = _text.ngrams(w, least)
         per = np.diff(ptr)
         first = np.repeat(w.ptr[:-1] - ptr[:-1], per) + np.arange(len(h))
-        left = ((w.hashes[np.maximum(first - 1, 0)] >> np.uint64(48)).astype(np.uint16) | np.uint16(1)).astype(np.uint16)
+        left = w.hashes[np.maximum(first - 1, 0)] >> np.uint64(64 - _exchange.BITS) | np.uint64(1)
         left[ptr[:-1][per > 0]] = 0
         yield w, ptr, h >> np.uint64(64 - _exchange.BITS), left
 
@@ -153,12 +153,12 @@ def _windows(texts: list[str], least: int) -> Iterator[tuple[_text.Words, np.nda
 def _distinct(f: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct fingerprints, where each window is in them, counts, and the left neighbour, 0 for several."""
     each, back, many = np.unique(f, return_inverse=True, return_counts=True)
-    low, high = np.full(len(each), 65535, np.uint16), np.zeros(len(each), np.uint16)
+    low, high = np.zeros(len(each), np.uint64), np.zeros(len(each), np.uint64)
     o = np.argsort(back, kind="stable")
     start = np.cumsum(many) - many
     if len(each):
         low, high = np.minimum.reduceat(left[o], start), np.maximum.reduceat(left[o], start)
-    return each, back, many, np.where(low == high, low, np.uint16(0)).astype(np.uint16)
+    return each, back, many, np.where(low == high, low, np.uint64(0))
 
 
 def suffix_runs(docs: DataFrame, least: int, key: str, text: str) -> DataFrame:
@@ -168,30 +168,42 @@ def suffix_runs(docs: DataFrame, least: int, key: str, text: str) -> DataFrame:
         got = [(f, left) for _, _, f, left in _windows(docs[1], least)]
         return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
 
-    def emit(docs: _exchange.Docs) -> tuple[np.ndarray, np.ndarray]:
+    def emit(docs: _exchange.Docs, answers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        each = np.unique(all_windows(docs)[0])
+        return each, np.zeros(len(each), np.uint16)
+
+    def repeated(f: np.ndarray, payload: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else np.zeros(0, np.int64)
+        n = np.diff(np.append(start, len(f)))
+        return np.repeat((n > 1).astype(np.uint32), n), np.arange(2, dtype=np.uint64)[:, None]
+
+    # only windows that other blocks have too need their left neighbours compared there
+    def emit_left(docs: _exchange.Docs, answers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         each, _, _, left = _distinct(*all_windows(docs))
-        return each, left
+        shared = answers[0][0] > 0 if answers[0].size else np.zeros(len(each), dtype=bool)
+        return each[shared], left[shared]
 
-    def reduce(f: np.ndarray, left: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        words = np.arange(3, dtype=np.uint64)[:, None]  # once, repeated, the first of a repeat
+    def heads_of(f: np.ndarray, left: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = np.arange(2, dtype=np.uint64)[:, None]  # the first of a repeat or not
         if not len(f):
             return np.zeros(0, np.uint32), words
         start = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-        n = np.diff(np.append(start, len(f)))
         low, high = np.minimum.reduceat(left, start), np.maximum.reduceat(left, start)
         head = (low != high) | (low == 0)
-        return np.repeat(np.where(n > 1, 1 + head, 0).astype(np.uint32), n), words
+        return np.repeat(head.astype(np.uint32), np.diff(np.append(start, len(f)))), words
 
     arrow = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("run", pa.binary())])
 
-    def finish(block: int, docs: _exchange.Docs, answers: np.ndarray) -> pa.Table:
+    def finish(block: int, docs: _exchange.Docs, answers: list[np.ndarray]) -> pa.Table:
         runs: list[list] = [[] for _ in range(parts)]
         keys = docs[0].tolist()
-        if answers.size:
-            answer = answers[0]
+        if answers[0].size:
+            shared = answers[0][0] > 0
             each, back, many, left = _distinct(*all_windows(docs))
-            repeats = (answer > 0) | (many > 1)
-            heads = repeats & ((answer == 2) | (left == 0))
+            repeats = shared | (many > 1)
+            heads = repeats & (left == 0)
+            if answers[1].size:
+                heads[shared] |= answers[1][0] > 0
             done = 0
             for w, ptr, f, _ in _windows(docs[1], least):
                 i = back[done : done + len(f)]
@@ -221,7 +233,8 @@ def suffix_runs(docs: DataFrame, least: int, key: str, text: str) -> DataFrame:
         return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], schema=arrow)
 
     blocked = _exchange.blocks(docs, F.col(f"`{key}`"), F.col(f"`{text}`"))
-    return _exchange.detect(blocked, emit, reduce, finish, _RUN)
+    answers = _exchange.ask(blocked, emit_left, heads_of, _exchange.ask(blocked, emit, repeated), np.uint64)
+    return _exchange.finish(blocked, answers, 2, finish, _RUN)
 
 
 def suffix_dedup(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
