@@ -6,7 +6,7 @@ import tiktoken
 
 from trustloom.llm import _text, bpe
 from trustloom.llm.decontaminate import decontaminate
-from trustloom.llm.licenses import canonical, evaluate, license_scan, postfix, tokens
+from trustloom.llm.licenses import automaton, canonical, evaluate, license_scan, postfix, scan, tokens
 
 
 def words(t):
@@ -115,3 +115,12 @@ def test_bpe_column(spark, tok):
     back = bpe.bpe_decode(got).collect()
     assert sorted(map(repr, ((r.doc_id, r.text) for r in back))) == sorted(map(repr, rows))
     assert bpe.bpe_encode(df.where("false")).collect() == []
+
+
+def test_wrapped_notices():
+    find = lambda t: [(f[0], f[1]) for f in scan(t, automaton())]
+    assert find("the GNU General Public\nLicense") == [("notice", "GPL")]
+    for sign in ("", "# ", " * ", "// ", "  ;; ", "-- ", "\t"):
+        assert find(f"{sign}Licensed under the Apache  License,\n{sign}Version 2.0\r\n{sign}\n{sign}GNU General\r\n{sign}Public License,\n{sign}\n{sign}version 2") == [("notice", "Apache-2.0"), ("notice", "GPL-2.0")]
+    assert find("x  y\n\n# z\n# SPDX-License-Identifier:  MIT OR Apache-2.0\n# the  MIT\n# license") == [("tag", "Apache-2.0 OR MIT"), ("notice", "MIT")]
+    assert find("all # rights reserved") == []

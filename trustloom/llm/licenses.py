@@ -8,6 +8,7 @@ evaluates it into the alternatives a user may choose from.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -52,6 +53,8 @@ NOTICES = {
     "the unlicense": "Unlicense",
 }
 _TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
+#: A run of white space, with the comment signs that open its lines.
+_GAP = re.compile(r"(?:[^\S\r\n]+|[\r\n]+(?:[^\S\r\n]*(?:/\*+|\*+|//+[/!]?|#+|;+|--+|%+|<!--|\.\.|dnl\b|rem\b|>+|!+|'+|\"\"\"|\|+))?)+")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 #: Stands for a null key in pandas, which would turn a column with nulls into floats.
 _NONE = -(1 << 63)
@@ -159,17 +162,37 @@ def canonical(choices: frozenset[frozenset[str]]) -> str:
     return " OR ".join(sorted(" AND ".join(sorted(c)) for c in choices))
 
 
+def collapse(low: str) -> tuple[str, list[int], list[int]]:
+    """low with one space for each gap; where in it pieces begin that differ in offset, and there in low."""
+    out: list[str] = []
+    new, old = [0], [0]
+    at = size = 0
+    for m in _GAP.finditer(low):
+        lo, hi = m.span()
+        if hi - lo == 1 and low[lo] == " ":
+            continue
+        out += low[at:lo], " "
+        size += lo - at + 1
+        at = hi
+        new.append(size)
+        old.append(hi)
+    out.append(low[at:])
+    return "".join(out), new, old
+
+
 def scan(text: str, machine: ahocorasick.Automaton) -> list[tuple[str, str, bool, int]]:
     """(kind, licence, valid, choices) of every find, in order; of finds that end together the longest counts."""
     low = text.lower()
     if len(low) != len(text):  # a few letters change their length in lower case
         text = low
     found = []
-    for end, (pattern, name) in machine.iter_long(low):
+    flat, new, old = collapse(low)
+    for end, (pattern, name) in machine.iter_long(flat):
         if name is not None:
             found.append(("notice", name, True, 1))
             continue
-        infix = tokens(text, end + 1)
+        piece = bisect_right(new, end) - 1  # a pattern ends in a letter or sign, never in a gap
+        infix = tokens(text, old[piece] + end - new[piece] + 1)
         while infix and infix[-1].lower() in _PRECEDENCE:  # "MIT and" at the end of a sentence
             infix.pop()
         if infix and infix[-1] not in "()":
@@ -188,7 +211,8 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     kind is tag or notice. An expression is given by its alternatives in sorted
     order; one that can't be parsed has valid false, choices 0 and its tokens as
-    license. Matches don't overlap: at each place the longest pattern counts.
+    license. Notices may be wrapped, indented or commented: white space, and the
+    comment signs at the beginnings of lines, count as one space. Matches don't overlap: at each place the longest pattern counts.
     hits counts repeats within a document; repeated rows of a key count
     together. Null and empty texts declare nothing; a null key is reported as
     null. Only the two named columns are read.
