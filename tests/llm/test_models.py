@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from trustloom.llm import lm_score, quality, toxicity
+from trustloom.llm._labelled import labelled
 from trustloom.llm._text import word_hash
 
 
@@ -71,6 +72,85 @@ def test_dual_coordinate_descent_separates():
     assert np.allclose([y[i] * (w[r].sum() + b) for i, r in enumerate(rows)], 1, atol=0.05)
 
 
+def test_labels_of_absent_documents_change_nothing(spark):
+    docs, labels = data(spark, 60)
+    foreign = spark.range(10_000, 14_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    both = labels.unionByName(foreign)
+    own = sorted(map(str, labelled(docs, labels, "quality", 20).collect()))
+    assert len(own) == 20 and own == sorted(map(str, labelled(docs.repartition(5), both, "quality", 20).collect()))
+    hot = docs.unionAll(spark.range(3000).selectExpr("7 as doc_id", "concat('t', id) as text", "1", "'y'"))
+    assert labelled(hot, labels, "quality", 20).count() == 20  # a key of many rows is one
+
+
+def test_features_one_text_at_a_time():
+    r = random.Random(3)
+    texts = ["", None, "You IDIOT!! i-d-i0t aa\n\n", "x", "é", "\n", *("".join(r.choice("aAbB .!?*#$1 \n") for _ in range(r.randrange(90))) for _ in range(80))]
+    m = toxicity.Model()
+    got = toxicity.features(texts, m)
+    for t, x in zip(texts, got):
+        assert np.array_equal(x, toxicity.features([t], m)[0])
+        b = (t or "").encode()
+        if b:
+            alpha = [chr(c).isalpha() and c < 128 for c in b]
+            inner = sum(alpha[i - 1] and alpha[i + 1] and chr(b[i]) in "0123456789*#$%&@^~|" for i in range(1, len(b) - 1))
+            twice = sum(b[i] == b[i - 1] and b[i] != 32 for i in range(1, len(b)))
+            upper = sum(65 <= c < 91 for c in b)
+            want = [inner / len(b), twice / len(b), upper / max(1, sum(alpha)), sum(c in b"!?" for c in b) / len(b), sum(c in b"*#$%&@^~|" for c in b) / len(b)]
+            assert np.allclose(x[13:], want)
+        else:
+            assert not x.any()
+
+
+def test_trees_against_brute_force():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 6, (80, 3)).astype(np.float32)
+    y = ((x[:, 0] > 2) ^ (x[:, 2] > 3)).astype(float)
+    base, (tree,) = toxicity._boost(x, y, 1, 1, 0.5)
+    p = y.mean()
+    assert abs(base - np.log(p / (1 - p))) < 1e-9
+    g, h = p - y, np.full(80, p * (1 - p))
+    part = lambda i: g[i].sum() ** 2 / (h[i].sum() + 1)
+    gain = {(j, v): part(x[:, j] <= v) + part(x[:, j] > v) - part(x[:, j] < 99) for j in range(3) for v in range(5)}
+    feature, threshold, value = tree
+    assert gain[int(feature[1]), int(threshold[1])] >= max(gain.values()) - 1e-9
+    left = x[:, feature[1]] <= threshold[1]
+    assert np.allclose(value[2:4], [-0.5 * g[i].sum() / (h[i].sum() + 1) for i in (left, ~left)])
+
+
+def test_isotonic_against_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        y = rng.integers(0, 2, 9).astype(float)
+        k = toxicity.isotonic(np.arange(9.0), y)
+        fit = np.interp(np.arange(9.0), k[0], k[1])
+        # least squares under monotony: max over starts of min over ends of the means
+        want = [max(min(y[a : b + 1].mean() for b in range(i, 9)) for a in range(i + 1)) for i in range(9)]
+        assert np.allclose(fit, want)
+
+
+def test_dual_objective_and_class_ratios(spark):
+    rng = np.random.default_rng(6)
+    rows = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(12)]
+    y, ratio, cost = np.where(rng.random(12) < 0.5, 1.0, -1.0), rng.normal(size=6), np.full(12, 0.7)
+    w, b = quality.dual_coordinate_descent(rows, y, ratio, cost, 5000)
+    x = np.zeros((12, 7))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 6] = ratio[r], 1
+    primal = lambda v: v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    v = np.append(w, b)
+    assert all(primal(v) <= primal(v + rng.normal(size=7) * s) + 1e-2 for s in (0.5, 0.1, 0.02) for _ in range(200))
+    docs = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "a b"), (4, "c c"), (5, "c d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 0), (5, 0)], "doc_id long, quality int")
+    m = quality.fit(docs, labels, least=1, mixed=0.0, c=1.0)
+    full = quality.fit(docs, labels, least=1, mixed=1.0, c=1.0)
+    n = {"a": (3, 0), "b": (2, 0), "c": (1, 2), "d": (0, 1), "a b": (2, 0), "a c": (1, 0), "c c": (0, 1), "c d": (0, 1)}
+    good, bad = (sum(x[i] + 1 for x in n.values()) for i in (0, 1))
+    at = {int(h): float(v) for h, v in zip(m.grams, m.weights)}
+    gram = lambda g: int(next(quality.indicators([g]))[1][0])
+    scale = {g: at[gram(g)] / np.log((n[g][0] + 1) / good / ((n[g][1] + 1) / bad)) for g in "abcd"}
+    assert max(scale.values()) - min(scale.values()) < 1e-9 and len(full.grams) <= 8
+
+
 def bigram_rows(spark, n):
     r = random.Random(1)
     follow = {f"a{i}": [f"a{(i * 7 + j) % 40}" for j in (1, 2)] for i in range(40)}

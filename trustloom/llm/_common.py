@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,16 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees: spark.checkpoint.dir.
 
-    Only where the session has none (tests, a laptop) a temporary folder is set.
+    Where the session has none, one is made for a single local process (tests,
+    a laptop), which has nobody to share with; a cluster must name one.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    have = sc._jsc.sc().getCheckpointDir()
+    if not where and have.isDefined():
+        return have.get()
     if not where:
-        where = sc._jsc.sc().getCheckpointDir().getOrElse(None) if sc._jsc.sc().getCheckpointDir().isDefined() else None
-        if not where:
-            where = tempfile.mkdtemp(prefix="llm-shared-")
-            sc.setCheckpointDir(where)
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="llm-shared-")
+    if not have.isDefined():
         sc.setCheckpointDir(where)
     return where
 
@@ -34,6 +38,12 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes what shared_path() named."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """checkpoint() in the shared folder: survives the loss of executors."""
     shared_dir(df.sparkSession)

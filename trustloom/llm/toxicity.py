@@ -117,25 +117,40 @@ def features(texts: list[str | None], m: Model) -> np.ndarray:
             o[:, 10] = by_doc(hit[near])
         o[:, 11] = by_doc(you) / total
         o[:, 12] = np.log1p(count)
-    chars = np.zeros((len(texts), 7))
-    for k, t in enumerate(texts):
-        if t:
-            a = np.frombuffer(t.encode(), dtype=np.uint8)
-            kind = _KIND[a]
-            chars[k] = np.bincount(kind, minlength=7)
-            letter = (kind == 1) | (kind == 2)
-            # a sign or digit between two letters of one word
-            out[k, 13] = np.count_nonzero(letter[:-2] & letter[2:] & ((kind[1:-1] == 3) | (kind[1:-1] == 5))) / len(a) if len(a) > 2 else 0
-            out[k, 14] = np.count_nonzero((a[1:] == a[:-1]) & (a[1:] != 32)) / len(a)
-    size = np.maximum(chars.sum(axis=1), 1)
-    out[:, 15] = chars[:, 1] / np.maximum(chars[:, 1] + chars[:, 2], 1)
-    out[:, 16] = chars[:, 4] / size
-    out[:, 17] = chars[:, 5] / size
+        _signs(texts[w.first : w.first + n], o)
     return out
 
 
-def _lexicon(train: DataFrame, total: tuple[int, int], least: int, odds: float, most: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Words and word beginnings that toxic rows have and others don't: sorted hashes and log-odds."""
+def _signs(texts: list[str | None], o: np.ndarray) -> None:
+    """Rates of letters and signs of a chunk of texts, into o[:, 13:]."""
+    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    a = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)  # a line end after each, so no text is without bytes
+    size = np.array([len(r) for r in raw], dtype=np.int64)
+    begin = np.cumsum(size + 1) - size - 1
+    kind = _KIND[a]
+
+    def count(hit: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(hit, begin, dtype=np.int64)
+
+    letter = (kind == 1) | (kind == 2)
+    inner, twice = np.zeros(len(a), dtype=bool), np.zeros(len(a), dtype=bool)
+    # a sign or digit between two letters of one word
+    inner[1:-1] = letter[:-2] & letter[2:] & ((kind[1:-1] == 3) | (kind[1:-1] == 5))
+    twice[1:] = (a[1:] == a[:-1]) & (a[1:] != 32)
+    twice[begin] = False
+    twice[begin + size] = False
+    length = np.maximum(size, 1)
+    upper, letters = count(kind == 1), count(letter)
+    o[:, 13], o[:, 14] = count(inner) / length, count(twice) / length
+    o[:, 15] = upper / np.maximum(letters, 1)
+    o[:, 16], o[:, 17] = count(kind == 4) / length, count(kind == 5) / length
+
+
+def _lexicon(train: DataFrame, total: tuple[int, int], least: int, odds: float) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Words and word beginnings that toxic rows have and others don't: sorted hashes and log-odds.
+
+    Each is in `least` rows of the sample, so the sample bounds their number.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -163,7 +178,7 @@ def _lexicon(train: DataFrame, total: tuple[int, int], least: int, odds: float,
         train.mapInPandas(count, "kind string, h bigint, a bigint, c bigint")
         .groupBy("kind", "h").agg(a.alias("a"), c.alias("c"))
         .where(F.col("a") >= least).withColumn("score", score).where(F.col("score") >= odds)
-        .orderBy(F.desc("score"), "kind", "h").limit(most).toPandas()
+        .select("kind", "h", "score").toPandas()
     )
     out = {}
     for kind in ("word", "stem"):
@@ -247,8 +262,11 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array([[x for b in blocks for x in (b[2], b[3])], [b[0] for b in blocks for _ in (0, 1)]])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = 60, depth: int = 3, rate: float = 0.2, odds: float = 3.0, lexicon: int = 4000, key: str = "doc_id", text: str = "text") -> Model:
-    """Fit on at most `sample` labelled rows (column toxic); without both labels the model is constant 0."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = 60, depth: int = 3, rate: float = 0.2, odds: float = 3.0, key: str = "doc_id", text: str = "text") -> Model:
+    """Fit on at most `sample` labelled rows (column toxic); without both labels the model is constant 0.
+
+    The lexicon has every word and beginning with log-odds of `odds` in the sample.
+    """
     rows = labelled(docs, labels, "toxic", sample, key, text)
     part = F.pmod(F.xxhash64("k", F.lit("split")), F.lit(10))
     train = rows.where(part < 5)
@@ -256,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
     toxic, count = int(sums[0] or 0), int(sums[1])
     m = Model()
     if toxic:
-        lex = _lexicon(train, (toxic, count - toxic), max(3, round(0.004 * toxic)), odds, lexicon)
+        lex = _lexicon(train, (toxic, count - toxic), max(3, round(0.004 * toxic)), odds)
         (m.words, m.word_weight), (m.stems, m.stem_weight) = lex["word"], lex["stem"]
     shared = docs.sparkSession.sparkContext.broadcast(m)
 
