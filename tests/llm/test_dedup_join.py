@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from trustloom.llm import _text
 from trustloom.llm.exact_dedup import exact_dedup
-from trustloom.llm.jaccard_join import components, jaccard_join, trie_join
+from trustloom.llm.jaccard_join import Trie, components, jaccard_join, links
 
 SCHEMA = "doc_id long, text string, key string, h int, grams string, copies int"
 
@@ -23,19 +23,22 @@ def grams(t, n):
 
 
 def brute(rows, n, t):
-    """Pairs among the smallest keys of equal sets, and the others with theirs."""
-    by = {}
+    """(key, class, links) of each row."""
+    sets = {x: grams(x, n) for _, x in rows if x is not None}
+    texts = list(sets)
+    near = {x: {y for y in texts if y != x and (c := len(sets[x] & sets[y])) and c >= t * (len(sets[x]) + len(sets[y]) - c)} for x in texts}
+    out = []
     for k, x in rows:
-        if k is not None and x is not None and grams(x, n):
-            by.setdefault(frozenset(grams(x, n)), set()).add(k)
-    out, reps = set(), [(min(ks), s) for s, ks in by.items()]
-    for i, (a, x) in enumerate(reps):
-        out |= {(a, k, len(x), len(x), len(x)) for k in by[x] if k != a}
-        for b, y in reps[:i]:
-            c = len(x & y)
-            if a != b and c >= t * (len(x) + len(y) - c) and c:
-                out.add((a, b, c, len(x), len(y)) if a < b else (b, a, c, len(y), len(x)))
-    return out
+        if x is None:
+            out.append((k, k, 0))
+            continue
+        seen, todo = {x}, [x]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        out.append((k, min((j for j, y in rows if y in seen and j is not None), default=None), len(near[x])))
+    return sorted(out, key=str)
 
 
 def corpus(r):
@@ -57,30 +60,40 @@ def corpus(r):
 
 
 def test_join_against_brute_force(spark):
-    for seed in range(3):
+    for seed, (n, t, part_bytes) in enumerate(((3, 0.5, 1 << 20), (1, 0.8, 1 << 20), (2, 0.3, 1500))):
         rows = corpus(random.Random(seed))
-        for n, t in ((3, 0.5), (1, 0.8), (2, 0.3)):
-            got = {tuple(x) for x in jaccard_join(frame(spark, rows), n, t).collect()}
-            assert got == brute(rows, n, t)
-
-
-@given(st.lists(st.sets(st.integers(0, 25), min_size=1), min_size=2, max_size=9), st.sampled_from([0.2, 0.5, 0.7, 1.0]), st.lists(st.integers(0, 5), min_size=9, max_size=9))
-@settings(max_examples=200, deadline=None)
-def test_trie_join(sets, t, extra):
-    sizes = [len(s) + e for s, e in zip(sets, extra)]
-    got = {(min(i, j), max(i, j), c) for i, j, c in trie_join([np.array(sorted(s), np.uint64) for s in sets], sizes, t)}
-    want = set()
-    for i in range(len(sets)):
-        for j in range(i):
-            c = len(sets[i] & sets[j])
-            if c >= t * (sizes[i] + sizes[j] - c) - 1e-9:
-                want.add((j, i, c))
-    assert got == {w for w in want if w[2]}
-    for chunk in (1, 2):
-        again = {(min(i, j), max(i, j), c) for i, j, c in trie_join([np.array(sorted(s), np.uint64) for s in sets], sizes, t, chunk=chunk)}
-        assert again == got
-        few = [(i, j) for i, j, _ in trie_join([np.array(sorted(s), np.uint64) for s in sets], sizes, t, True, chunk)]
-        assert closure(few, len(sets)) == closure([(i, j) for i, j, _ in got], len(sets)) and len(few) < len(sets)
+        got = jaccard_join(frame(spark, rows), n, t, part_bytes=part_bytes).collect()
+        assert sorted((tuple(x) for x in got), key=str) == brute(rows, n, t)
+
+
+@given(st.lists(st.sets(st.integers(0, 25), min_size=1), min_size=1, max_size=12), st.sampled_from([0.2, 0.5, 0.7, 1.0]), st.lists(st.integers(0, 5), min_size=12, max_size=12), st.lists(st.sets(st.integers(1, 3), min_size=1), min_size=12, max_size=12), st.integers(1, 5000))
+@settings(max_examples=300, deadline=None)
+def test_links(sets, t, extra, places, table):
+    sizes = np.array([len(s) + e for s, e in zip(sets, extra)])
+    kinds = [np.array(sorted(p), np.int64).tobytes() for p in places[: len(sets)]]
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+
+    def similar(i, j):
+        c = len(sets[i] & sets[j])
+        return c and c >= t * (sizes[i] + sizes[j] - c) - 1e-9
+
+    Trie.TABLE, before = table, Trie.TABLE
+    m = range(len(sets))
+    counts, pairs = np.zeros(len(sets), int), set()
+    for place in (1, 2, 3):  # each two count at one of the places where they meet
+        here = [i for i in m if place in places[i]]
+        count, group = links([arrays[i] for i in here], sizes[here], t, [kinds[i] for i in here], place)
+        counts[here] += count
+        pairs |= {(here[g], i) for i, g in zip(here, group)}
+    want = [(i, j) for i in m for j in range(i) if places[i] & places[j] and similar(i, j)]
+    assert counts.tolist() == [sum(i in p for p in want) for i in m]
+    assert closure(pairs, len(sets)) == closure(want, len(sets))
+    side = np.array([e % 2 for e in extra[: len(sets)]], bool)
+    count, group = links(arrays, sizes, t, [kinds[0]] * len(sets), min(places[0]), side)
+    want = [(i, j) for i in m for j in range(i) if side[i] != side[j] and similar(i, j)]
+    assert count.tolist() == [sum(i in p for p in want) for i in m]
+    assert closure(enumerate(group.tolist()), len(sets)) == closure(want, len(sets))
+    Trie.TABLE = before
 
 
 def closure(pairs, n):
@@ -90,13 +103,6 @@ def closure(pairs, n):
     return [group.index(g) for g in group]
 
 
-def test_connecting_pairs(spark):
-    rows = corpus(random.Random(8))
-    full, few = (jaccard_join(frame(spark, rows), 2, 0.4, connect=c) for c in (False, True))
-    assert few.count() < full.count()
-    assert sorted(components(full).collect()) == sorted(components(few).collect())
-
-
 def test_components(spark):
     pairs = spark.createDataFrame([(3, 9), (9, 12), (1, 12), (20, 21), (21, 22), (23, 22)], "doc_a long, doc_b long")
     got = {r["doc_id"]: r["group_id"] for r in components(pairs).collect()}
@@ -121,12 +127,27 @@ def test_join_empty(spark):
 
 def test_many_short_texts(spark):
     df = spark.range(150_000).selectExpr("id as doc_id", "concat('w', id div 2, ' x') as text")
-    assert jaccard_join(df, 1, 0.9).count() == 75_000
+    got = jaccard_join(df, 1, 0.9)
+    assert got.count() == 150_000 and got.where("class_id <> doc_id div 2 * 2 or links <> 0").isEmpty()
+
+
+def test_a_group_of_many_near_copies(spark):
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(700):
+        x = list(base)
+        for _ in range(3):
+            x[r.randrange(60)] = f"z{r.randrange(400)}"
+        rows.append((i, " ".join(x)))
+    want = brute(rows, 2, 0.7)
+    for part_bytes in (1 << 30, 60_000):
+        assert sorted((tuple(x) for x in jaccard_join(frame(spark, rows), 2, 0.7, part_bytes=part_bytes).collect()), key=str) == want
 
 
-def test_copies_are_paired_with_the_smallest_key_of_the_set(spark):
+def test_other_case_and_copies(spark):
     same, near = "a b c d e f g", "a b c d e f z"
-    rows = [(3, same.upper() + "!"), (5, same), (7, same), (8, near), (9, near), (2, "x y z"), (4, "x y z"), (1, "X, y z"), (6, "p q r s"), (10, "p q r s"), (7, "p q r s")]
-    got = {tuple(x) for x in jaccard_join(frame(spark, rows), 2, 0.5).collect()}
+    rows = [(3, same.upper() + "!"), (5, same), (7, same), (8, near), (9, near), (2, "x y z"), (4, "x y z"), (1, "X, y z"), (6, "p q r s"), (10, "p q r s"), (7, "p q r s"), (None, near), (None, "alone")]
+    got = sorted((tuple(x) for x in jaccard_join(frame(spark, rows), 2, 0.5).collect()), key=str)
     assert got == brute(rows, 2, 0.5)
-    assert {(3, 5, 6, 6, 6), (3, 7, 6, 6, 6), (1, 2, 2, 2, 2), (1, 4, 2, 2, 2)} <= got
+    assert {(3, 3, 2), (5, 3, 2), (7, 3, 2), (9, 3, 2), (4, 1, 1), (10, 6, 0), (None, 3, 2), (None, None, 0)} <= set(got)

@@ -10,6 +10,7 @@ bytes of shuffle, and texts move once, to their block.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import shuffle_partitions
-
 #: Fingerprints have so many bits. What they decide is checked on contents, or errs with probability n / 2**48.
 BITS = 48
 BLOCK_BYTES = 8 << 20
-#: Short documents make a block by their number, which must stay under 65536.
+#: Short documents make a block by their number.
 BLOCK_DOCS = 30_000
 
 
@@ -47,41 +46,73 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
 
 
-_BLOCK = "block bigint, n int, docs binary"
+_BLOCK = "block int, n int, docs binary"
+
+
+@dataclass
+class Blocked:
+    """(block, n, docs): compressed documents; each of the n blocks is a partition of its own.
+
+    Every further exchange also has n parts, so what a task reads doesn't grow with the data.
+    """
+
+    df: DataFrame
+    n: int
 
 
 def block_count(size: int | None, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, -(-int(size or 0) // block_bytes))
 
 
-def blocks(docs: DataFrame, key: Column, text: Column, block_bytes: int = BLOCK_BYTES, by_text: bool = False) -> DataFrame:
-    """(block, n, docs): compressed documents, hash-partitioned by block; null keys and texts are left out.
+def blocks(docs: DataFrame, key: Column, text: Column, block_bytes: int = BLOCK_BYTES) -> Blocked:
+    """The documents in blocks by key; null keys and texts are left out."""
+    rows = docs.select(key.cast("bigint").alias("k"), text.alias("t")).where("k is not null and t is not null")
+    return _blocks(rows, block_bytes, False)
+
+
+def text_blocks(docs: DataFrame, text: Column, block_bytes: int = BLOCK_BYTES) -> Blocked:
+    """The texts in blocks by text_key(), which takes the place of their keys; null texts are left out.
 
-    by_text: equal texts come to the same block.
+    A task sends each text once, so copies of one text weigh as much as there are tasks that have it.
     """
-    rows = docs.select(key.cast("bigint").alias("k"), text.alias("t")).where("k is not null and t is not null")
+    rows = docs.select(text.alias("t")).where("t is not null").select(text_key(F.col("t")).alias("k"), "t")
+    return _blocks(rows, block_bytes, True)
+
+
+def text_key(text: Column) -> Column:
+    """Equal texts have equal keys; of n texts some two others have with a probability of about n^2 / 2^65."""
+    return F.xxhash64(text)
+
+
+def _blocks(rows: DataFrame, block_bytes: int, fold: bool) -> Blocked:
     size, count = rows.agg(F.sum(F.octet_length("t")), F.count("*")).first()
     n = max(block_count(size, block_bytes), block_count(count, BLOCK_DOCS))
-    return pack_blocks(rows.withColumn("block", F.pmod(F.xxhash64("t" if by_text else "k"), F.lit(n)).cast("bigint")), n)
+    return pack_blocks(rows.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")), n, fold=fold)
 
 
-def pack_blocks(rows: DataFrame, n: int, prepare: Callable[[str], str] = str) -> DataFrame:
-    """Rows (k, t, block), block one of n, as blocks(); prepare is applied to the texts first."""
-    parts = max(1, min(n, max(shuffle_partitions(rows.sparkSession), n // 4)))
-    schema = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("docs", pa.binary())])
+def pack_blocks(rows: DataFrame, n: int, prepare: Callable[[str], str] = str, fold: bool = False) -> Blocked:
+    """Rows (k, t, block), block one of n; prepare is applied to the texts first. fold: of a key a task sends the first row only."""
+    schema = pa.schema([("block", pa.int32()), ("n", pa.int32()), ("docs", pa.binary())])
 
     def pack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            keys, texts, at = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            keys, texts, at = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
+            if fold:
+                new = np.array([k not in seen and not seen.add(k) for k in keys.tolist()], dtype=bool)
+                keys, texts, at = keys[new], texts.filter(pa.array(new)), at[new]
+            texts = texts.to_pylist()
+            order = np.argsort(at, kind="stable")
+            edge = np.flatnonzero(np.diff(at[order], prepend=-1, append=-1)) if len(order) else order
             out = []
-            for b in np.unique(at):
-                i = np.flatnonzero(at == b)
-                raw = [prepare(texts[j]).encode() for j in i]
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                i = order[lo:hi]
+                raw = [prepare(texts[j]).encode() for j in i.tolist()]
                 head = np.concatenate([keys[i], np.array([len(r) for r in raw], np.int64)])
-                out.append((b, len(i), zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(raw))))
+                out.append((at[i[0]], len(i), zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(raw))))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out) if out else [[]] * 3, schema)], schema=schema)
 
-    return rows.select("k", "t", "block").mapInArrow(pack_docs, _BLOCK).repartition(parts, "block")
+    return Blocked(rows.select("k", "t", "block").mapInArrow(pack_docs, _BLOCK).repartitionById(n, "block"), n)
 
 
 def block_docs(table: pa.Table) -> tuple[np.ndarray, list[str]]:
@@ -103,11 +134,11 @@ def block_docs(table: pa.Table) -> tuple[np.ndarray, list[str]]:
 Docs = tuple[np.ndarray, list[str]]
 Emit = tuple[np.ndarray, np.ndarray]
 Reduce = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-_ANSWER = pa.schema([("block", pa.int64()), ("round", pa.int32()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("words", pa.binary())])
-_ANSWER_SQL = "block bigint, round int, bucket int, numbers binary, words binary"
+_ANSWER = pa.schema([("block", pa.int32()), ("round", pa.int32()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("words", pa.binary())])
+_ANSWER_SQL = "block int, round int, bucket int, numbers binary, words binary"
 
 
-def ask(blocked: DataFrame, emit: Callable[[Docs, list[np.ndarray]], Emit], reduce: Reduce, earlier: DataFrame | None = None, kind: type = np.uint16) -> DataFrame:
+def ask(blocked: Blocked, emit: Callable[[Docs, list[np.ndarray]], Emit], reduce: Reduce, earlier: DataFrame | None = None, kind: type = np.uint16) -> DataFrame:
     """Answers of a round, for finish() or a further round.
 
     emit(documents, words of the earlier rounds) gives sorted fingerprints
@@ -115,9 +146,9 @@ def ask(blocked: DataFrame, emit: Callable[[Docs, list[np.ndarray]], Emit], redu
     number for each entry of a bucket, sorted by fingerprint, and the table
     [numbers, words] of 64-bit words that the numbers stand for, row 0 of zeros.
     """
-    buckets = shuffle_partitions(blocked.sparkSession) * 2
+    buckets = blocked.n
     this = 0 if earlier is None else 1
-    out = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("fps", pa.binary()), ("payload", pa.binary())])
+    out = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("fps", pa.binary()), ("payload", pa.binary())])
 
     def send(left: pa.Table, right: pa.Table | None = None) -> pa.Table:
         if not left.num_rows:
@@ -128,7 +159,7 @@ def ask(blocked: DataFrame, emit: Callable[[Docs, list[np.ndarray]], Emit], redu
         rows = [r for r in rows if len(r[1])]
         block = left["block"][0].as_py()
         return pa.Table.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([pack_sorted(r[1]) for r in rows], pa.binary()), pa.array([pack(r[2]) for r in rows], pa.binary())],
+            [pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int32()), pa.array([pack_sorted(r[1]) for r in rows], pa.binary()), pa.array([pack(r[2]) for r in rows], pa.binary())],
             schema=out,
         )
 
@@ -150,13 +181,13 @@ def ask(blocked: DataFrame, emit: Callable[[Docs, list[np.ndarray]], Emit], redu
             rows.append((block, this, bucket, pack(own[:-1].astype(np.uint32)), zstandard.compress(np.ascontiguousarray(words[used].T).tobytes(), 1)))
         return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _ANSWER)], schema=_ANSWER)
 
-    schema = "bucket int, block bigint, fps binary, payload binary"
-    groups = blocked.groupBy("block")
+    schema = "bucket int, block int, fps binary, payload binary"
+    groups = blocked.df.groupBy("block")
     if earlier is None:
         sent = groups.applyInArrow(lambda table: send(table), schema)
     else:
-        sent = groups.cogroup(earlier.groupBy("block")).applyInArrow(lambda left, right: send(left, right), schema)
-    answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, _ANSWER_SQL)
+        sent = groups.cogroup(earlier.repartitionById(blocked.n, "block").groupBy("block")).applyInArrow(lambda left, right: send(left, right), schema)
+    answers = sent.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(answer, _ANSWER_SQL)
     return answers if earlier is None else earlier.unionAll(answers)
 
 
@@ -175,16 +206,16 @@ def _answers(table: pa.Table, rounds: int) -> list[np.ndarray]:
     return out
 
 
-def finish(blocked: DataFrame, answers: DataFrame, rounds: int, result: Callable[[int, Docs, list[np.ndarray]], pa.Table], schema: str) -> DataFrame:
+def finish(blocked: Blocked, answers: DataFrame, rounds: int, result: Callable[[int, Docs, list[np.ndarray]], pa.Table], schema: str) -> DataFrame:
     """result(block, its documents, words of the rounds) of every block."""
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
         return result(int(left["block"][0].as_py()), block_docs(left), _answers(right, rounds))
 
-    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(end, schema)
+    return blocked.df.groupBy("block").cogroup(answers.repartitionById(blocked.n, "block").groupBy("block")).applyInArrow(end, schema)
 
 
-def detect(blocked: DataFrame, emit: Callable[[Docs], Emit], reduce: Reduce, result: Callable[[int, Docs, np.ndarray], pa.Table], schema: str) -> DataFrame:
+def detect(blocked: Blocked, emit: Callable[[Docs], Emit], reduce: Reduce, result: Callable[[int, Docs, np.ndarray], pa.Table], schema: str) -> DataFrame:
     """One round: result(block, its documents, words) of every block."""
     answers = ask(blocked, lambda docs, _: emit(docs), reduce)
     return finish(blocked, answers, 1, lambda block, docs, words: result(block, docs, words[0]), schema)

@@ -114,7 +114,7 @@ def extract(pages: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BYTES
     # only hosts larger than a block are in it; so many that they aren't small are joined by a shuffle
     rows = rows.join(F.broadcast(split) if large <= 100_000 else split, "h", "left")
     salt = F.when(F.col("s").isNotNull(), F.pmod(F.xxhash64("k"), F.col("s"))).otherwise(F.lit(0))
-    block = F.pmod(F.xxhash64("h", salt), F.lit(n)).cast("bigint")
+    block = F.pmod(F.xxhash64("h", salt), F.lit(n)).cast("int")
     marked = rows.select("k", F.concat_ws("\0", "h", F.when(F.col("s").isNotNull(), "1").otherwise("0"), "t").alias("t"), block.alias("block"))
 
     def prepare(t: str) -> str:

@@ -1,32 +1,39 @@
 """N-gram Jaccard join with prefix trees (operator 6).
 
-Every document is the set of its word n-grams. The sets are ordered globally,
-n-grams of few documents first, and two sets of similarity t share one
-within their prefixes of |x| - ceil(t |x|) + 1. Documents meet where the n-grams
+Every text is the set of its word n-grams. The sets are ordered globally,
+n-grams of few texts first, and two sets of similarity t share one
+within their prefixes of |x| - ceil(t |x|) + 1. Texts meet where the n-grams
 of their prefixes name a place; a group of near copies has few of them. There
-its sets stand in a prefix tree, most frequent n-gram first; a probe walks it
-once, keeps the overlap of a path for all sets below, and leaves a subtree when
-what remains of it can't reach the overlap needed.
+its sets stand in a prefix tree, most frequent n-gram first. One walk takes all
+probes along: the overlap of a path is kept for all sets below, a probe leaves
+a subtree when what remains of it can't reach the overlap needed, and is linked
+to all of a subtree at once when it has reached it. So links are counted, and
+their connected classes found, without listing pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _exchange, _text
 from ._common import cut, shuffle_partitions
 
 NGRAM, THRESHOLD = 3, 0.5
+#: A place with more bytes of sets is cut into parts, and every two parts meet in a task.
+PART_BYTES = 4 << 20
+TASK_BYTES = 2 << 20
+#: Large places up to so many are broadcast, two numbers each.
+BROADCAST = 100_000
 _SIG = (1 << 40) - 1
-_CANDIDATE = "key bigint, doc_id bigint, size int, h bigint, first bigint, grams binary"
-PAIRS = "doc_a bigint, doc_b bigint, common bigint, size_a bigint, size_b bigint"
+_CANDIDATE = "place bigint, tid bigint, size int, places binary, grams binary"
+_LINKED = "tid bigint, links bigint, root bigint"
 
 
 def _sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,25 +56,14 @@ def _need(t: float, a: int | np.ndarray, b: int | np.ndarray) -> np.ndarray:
     return np.ceil(t / (1 + t) * (np.asarray(a) + b) - 1e-9).astype(np.int64)
 
 
-def _distinct(docs: _exchange.Docs) -> tuple[np.ndarray, list[str], list[tuple[int, int]]]:
-    """Smallest keys, their texts, and (number of the text, other key) of equal texts. docs are sorted by key."""
+def _own(docs: _exchange.Docs) -> tuple[np.ndarray, list[str]]:
+    """Keys of the texts of a block and the texts, each once. docs are sorted by key and text."""
     keys, texts = docs
-    number: dict[str, int] = {}
-    firsts: list[int] = []
-    same = set()
-    for k, t in zip(keys.tolist(), texts):
-        i = number.setdefault(t, len(firsts))
-        if i == len(firsts):
-            firsts.append(k)
-        elif firsts[i] != k:
-            same.add((i, k))
-    own = list(number)
-    if len(own) > 1 << 16:
-        raise ValueError("a block holds more than 65536 texts")
-    return np.array(firsts, dtype=np.int64), own, sorted(same)
-
-
-def candidates(docs: DataFrame, n: int, t: float, key: str, text: str) -> DataFrame:
+    new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+    return keys[new], [texts[i] for i in np.flatnonzero(new).tolist()]
+
+
+def candidates(docs: DataFrame, n: int, t: float, text: str) -> DataFrame:
     """A row for every text and meeting place of its prefix: its n-grams that other candidates have too.
 
     A text of x n-grams needs t x that others have. The first round of
@@ -76,13 +72,11 @@ def candidates(docs: DataFrame, n: int, t: float, key: str, text: str) -> DataFr
     meeting place, so those of a group of near copies mostly meet at one. The
     global order puts n-grams without a second text first, then those whose
     texts have several n-grams in common, by the logarithm of their number of
-    texts and by place; it is the same in every text. Equal texts are one; rows
-    without n-grams and with its key in first tell of the others, at one of its
-    meeting places if other texts may have the same set, else at key -1.
+    texts and by place; it is the same in every text. places: all of its places.
     """
 
     def all_sets(docs: _exchange.Docs, answers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        f, d = _sets(_distinct(docs)[1], n)
+        f, d = _sets(_own(docs)[1], n)
         # a block asks once for what several of its texts have
         each = np.unique(f)
         return each, np.zeros(len(each), np.uint16)
@@ -108,15 +102,15 @@ def candidates(docs: DataFrame, n: int, t: float, key: str, text: str) -> DataFr
         return f[keep], d[keep]
 
     def live(docs: _exchange.Docs, answers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        f, d, _ = live_sets(_distinct(docs)[1], answers[0])
-        return f, d.astype(np.uint16)
+        f, d, _ = live_sets(_own(docs)[1], answers[0])
+        return f, d.astype(np.uint32)
 
     def lists(f: np.ndarray, doc: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(f):
             return np.zeros(0, np.uint32), np.zeros((1, 2), np.uint64)
         start = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
         df = np.diff(np.append(start, len(f)))
-        who = _text.mix((block.astype(np.uint64) << np.uint64(16)) | doc)
+        who = _text.mix((block.astype(np.uint64) << np.uint64(32)) | doc)
         many = df > 1
         sig = (np.minimum(df, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (np.bitwise_xor.reduceat(who, start) & np.uint64(_SIG))
         # equal lists of texts have equal numbers
@@ -125,14 +119,13 @@ def candidates(docs: DataFrame, n: int, t: float, key: str, text: str) -> DataFr
         each[many] = number.ravel() + 1
         return np.repeat(each, df), np.concatenate([np.zeros((1, 2), np.uint64), both])
 
-    arrow = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int32()), ("h", pa.int64()), ("first", pa.int64()), ("grams", pa.binary())])
+    arrow = pa.schema([("place", pa.int64()), ("tid", pa.int64()), ("size", pa.int32()), ("places", pa.binary()), ("grams", pa.binary())])
 
     def result(block: int, docs: _exchange.Docs, answers: list[np.ndarray]) -> pa.Table:
-        keys, texts, same = _distinct(docs)
+        keys, texts = _own(docs)
         bits, words = answers
         f, d, size = live_sets(texts, bits)
         out: list[tuple] = []
-        meet: dict[int, tuple[int, int]] = {}  # place and hash of the texts that others may equal as sets
         if words.size:
             sig, place = words
             keep = sig > 0
@@ -144,26 +137,18 @@ def candidates(docs: DataFrame, n: int, t: float, key: str, text: str) -> DataFr
                 prefix = hi - lo - least + 1
                 if prefix < 1:
                     continue
-                g = f[lo:hi]
                 kinds, first, many = np.unique(sig[lo:hi], return_index=True, return_counts=True)
                 at = place[lo:hi][first]
                 df = np.log2((kinds >> np.uint64(40)).astype(float)).astype(int)
                 order = np.lexsort((kinds, at, df, many < 4))
                 used = order[: int(np.searchsorted(np.cumsum(many[order]), prefix)) + 1]
-                blob = _exchange.pack_sorted(g)
-                h = int(_text.mix(np.bitwise_xor.reduce(_text.mix(g)) + np.array([size[doc]], np.uint64))[0].view(np.int64))
-                places = (np.unique(at[used]) >> np.uint64(1)).astype(np.int64).tolist()
-                out.extend((p, int(keys[doc]), int(size[doc]), h, None, blob) for p in places)
-                if len(g) == size[doc]:
-                    meet[doc] = places[0], h
-        for i, b in same:
-            if size[i]:
-                p, h = meet.get(i, (-1, int(keys[i])))
-                out.append((p, b, int(size[i]), h, int(keys[i]), b""))
-        return pa.Table.from_arrays([pa.array(c, type=s.type) for c, s in zip(zip(*out) if out else [[]] * 6, arrow)], schema=arrow)
-
-    blocked = _exchange.blocks(docs, F.col(f"`{key}`"), F.col(f"`{text}`"), by_text=True)
-    answers = _exchange.ask(blocked, live, lists, _exchange.ask(blocked, all_sets, repeats))
+                places = (np.unique(at[used]) >> np.uint64(1)).astype(np.int64)
+                blob, listed = _exchange.pack_sorted(f[lo:hi]), places.tobytes()
+                out.extend((p, int(keys[doc]), int(size[doc]), listed, blob) for p in places.tolist())
+        return pa.Table.from_arrays([pa.array(c, type=s.type) for c, s in zip(zip(*out) if out else [[]] * 5, arrow)], schema=arrow)
+
+    blocked = _exchange.text_blocks(docs, F.col(f"`{text}`"))
+    answers = _exchange.ask(blocked, live, lists, _exchange.ask(blocked, all_sets, repeats), np.uint32)
     return _exchange.finish(blocked, answers, 2, result, _CANDIDATE)
 
 
@@ -172,86 +157,64 @@ def _runs(d: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     return d[start].tolist(), start.tolist(), np.append(start[1:], len(d)).tolist()
 
 
-class Links:
-    """Which members of a growing set are connected."""
-
-    def __init__(self):
-        self.up: list[int] = []
-        self.groups = 0
-
-    def add(self) -> None:
-        self.up.append(len(self.up))
-        self.groups += 1
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-            self.groups -= 1
-
-
 class Trie:
     """Sets as paths from the most frequent element on, in depth first order."""
 
-    def __init__(self, sets: list[np.ndarray], sizes: list[int]):
+    #: Bytes of the table of probes and elements.
+    TABLE = 32 << 20
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
         self.elements, code, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         self.rank = np.empty(len(self.elements), dtype=np.int64)
         self.rank[np.argsort(-many, kind="stable")] = np.arange(len(self.elements))
         paths = [np.sort(p) for p in np.split(self.rank[code], np.cumsum([len(s) for s in sets])[:-1])]
-        self.order = sorted(range(len(sets)), key=lambda i: paths[i].astype(">i4").tobytes())
-        self.paths = [paths[i] for i in self.order]
-        self.sizes = [sizes[i] for i in self.order]
-        self.shared = [0] * len(paths)  # depth at which a path leaves the one before it
-        for i in range(1, len(paths)):
-            self.shared[i] = _agree(self.paths[i - 1], self.paths[i])
-        self.longest = max(len(p) for p in paths)
-        self.smallest = min(sizes)
-        self.have = np.zeros(len(self.elements), dtype=bool)
-        self.overlap = np.zeros(self.longest + 1, dtype=np.int64)
-
-    def probe(self, s: np.ndarray, size: int, t: float, until: int, links: Links | None = None, base: int = 0, who: int = 0) -> Iterator[tuple[int, int]]:
-        """(number of the set, overlap) of the similar ones among the first `until` paths.
-
-        With links, sets that are connected to the probe are passed over, and
-        the walk ends when all are.
-        """
-        i = np.minimum(np.searchsorted(self.elements, s), len(self.elements) - 1)
-        own = self.rank[i[self.elements[i] == s]]
-        self.have[own] = True
-        least = int(_need(t, self.smallest, size))
-        depth, overlap = 0, self.overlap
-        pruned = self.longest + 1  # paths that share more than this with the pruned one lie below it
-        for i in range(until):
-            if i:
-                depth = min(depth, self.shared[i])
-                if self.shared[i] > pruned:
-                    continue
-            pruned = self.longest + 1
-            if links is not None:
-                if links.groups == 1:
-                    break
-                if links.find(base + self.order[i]) == links.find(who):
-                    continue
-            so_far = int(overlap[depth])
-            if so_far + min(len(own) - so_far, self.longest - depth) < least:
-                pruned = depth
+        self.order = np.array(sorted(range(len(sets)), key=lambda i: paths[i].astype(">i4").tobytes()))
+        self.paths = [paths[i] for i in self.order.tolist()]
+        self.sizes = sizes[self.order]
+        self.length = np.array([len(p) for p in self.paths])
+        # depth at which a path leaves the one before it
+        self.shared = np.array([0, *(_agree(a, b) for a, b in zip(self.paths, self.paths[1:]))])
+
+    def probe(self, sets: list[np.ndarray], sizes: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, int, int]]:
+        """(probes, lo, hi): every one of the probes is similar to each of order[lo:hi], each such two once."""
+        step = max(1, self.TABLE // max(1, len(self.elements)))
+        for lo in range(0, len(sets), step):
+            for who, a, b in self._walk(sets[lo : lo + step], sizes[lo : lo + step], t):
+                yield who + lo, a, b
+
+    def _walk(self, sets: list[np.ndarray], sizes: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, int, int]]:
+        own = np.zeros(len(sets), dtype=np.int64)
+        has = np.zeros((len(self.elements), len(sets)), dtype=np.uint8)
+        for k, s in enumerate(sets):
+            i = np.minimum(np.searchsorted(self.elements, s), len(self.elements) - 1)
+            i = self.rank[i[self.elements[i] == s]]
+            own[k] = len(i)
+            has[i, k] = 1
+        # leaves, depth and, of the probes that are there, number and overlap
+        todo = [(0, len(self.paths), 0, np.arange(len(sets)), np.zeros(len(sets), np.int64))]
+        while todo:
+            a, b, depth, who, overlap = todo.pop()
+            end = int(self.shared[a + 1 : b].min()) if b - a > 1 else int(self.length[a])
+            if end > depth:
+                edge = self.paths[a][depth:end]
+                every = len(who) * 2 > len(sets)
+                new = np.zeros(len(sets) if every else len(who), np.int64)
+                for lo in range(0, len(edge), 255):  # sums of bytes up to 255
+                    some = has[edge[lo : lo + 255]] if every else has[edge[lo : lo + 255, None], who]
+                    new += some.sum(axis=0, dtype=np.uint8)
+                overlap = overlap + (new[who] if every else new)
+            size = self.sizes[a:b]
+            low, high, remain = int(size.min()), int(size.max()), int(self.length[a:b].max()) - end
+            can = overlap + np.minimum(own[who] - overlap, remain) >= _need(t, low, sizes[who])
+            sure = can & (overlap >= _need(t, high, sizes[who]))
+            if sure.any():
+                yield who[sure], a, b
+            rest = can & ~sure
+            if not rest.any() or b - a == 1:
                 continue
-            path = self.paths[i]
-            new = so_far + np.cumsum(self.have[path[depth:]])
-            overlap[depth + 1 : len(path) + 1] = new
-            got = int(new[-1]) if len(new) else so_far
-            depth = len(path)
-            if got and got >= int(_need(t, self.sizes[i], size)):
-                yield self.order[i], got
-                if links is not None:
-                    links.join(base + self.order[i], who)
-        self.have[own] = False
+            who, overlap = who[rest], overlap[rest]
+            cuts = [a, *(np.flatnonzero(self.shared[a + 1 : b] == end) + a + 1).tolist(), b]
+            todo.extend((x, y, end, who, overlap) for x, y in zip(cuts, cuts[1:]))
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> int:
@@ -260,127 +223,136 @@ def _agree(a: np.ndarray, b: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else m
 
 
-CHUNK = 2000
+def links(sets: list[np.ndarray], sizes: np.ndarray, t: float, kinds: list[bytes], place: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set the number of similar ones, and the smallest number of one it is connected to.
 
-
-def trie_join(sets: Sequence[np.ndarray], sizes: Sequence[int], t: float, connect: bool = False, chunk: int = CHUNK) -> Iterator[tuple[int, int, int]]:
-    """(i, j, overlap) of all pairs whose similarity is at least t, each pair once.
-
-    sets: sorted fingerprints that sets may share; sizes: of the whole sets. A
-    tree holds `chunk` sets, so memory doesn't grow with their number.
-    connect: only as many pairs as connect what all would.
-    """
-    links = Links() if connect else None
-    tries: list[tuple[int, int]] = []
-    for lo in range(0, len(sets), chunk):
-        hi = min(lo + chunk, len(sets))
-        mine, own = [sets[i] for i in range(lo, hi)], list(sizes[lo:hi])
-        trie = Trie(mine, own)
-        if links is not None:
-            for _ in range(lo, hi):
-                links.add()
-        for place, j in enumerate(trie.order):
-            for i, c in trie.probe(mine[j], own[j], t, place, links, lo, lo + j):
-                yield lo + i, lo + j, c
-        for a, b in tries:
-            if links is not None and links.groups == 1:
-                break
-            earlier = Trie([sets[i] for i in range(a, b)], list(sizes[a:b]))
-            for j in range(hi - lo):
-                for i, c in earlier.probe(mine[j], own[j], t, b - a, links, a, lo + j):
-                    yield a + i, lo + j, c
-        tries.append((lo, hi))
-
-
-class _Packed(Sequence):
-    """Sets that are unpacked when they are asked for."""
-
-    def __init__(self, blobs: list[bytes]):
-        self.blobs = blobs
-
-    def __len__(self) -> int:
-        return len(self.blobs)
-
-    def __getitem__(self, i: int) -> np.ndarray:
-        return _exchange.unpack_sorted(self.blobs[i])
-
-
-def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", connect: bool = False) -> DataFrame:
-    """(doc_a, doc_b, common, size_a, size_b), doc_a < doc_b, of documents whose n-gram sets are similar.
-
-    Sets are of word n-grams, whatever the case and punctuation; a document of
-    1 to n - 1 words has one n-gram, all of it. common / (size_a + size_b -
-    common) is at least threshold. Documents of equal sets count as one: the
-    smallest key stands for them in other pairs, and each other one is paired
-    with it. All such pairs are found; with connect only as many as connect the
-    same documents, directly or through others. Null keys, null texts and texts
-    without words have no pairs; rows that repeat key and text have none with
-    each other. Only the two named columns are read.
+    sets: sorted fingerprints that sets may share; sizes: of the whole sets.
+    kinds: the places of each; two sets count only where the first place they
+    have in common is this one. side: count only those of different sides.
     """
+    count, group = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    by: dict[tuple[bytes, int], list[int]] = {}
+    for i, k in enumerate(kinds):
+        by.setdefault((k, 0 if side is None else int(side[i])), []).append(i)
+    keys = sorted(by)
+    at = {k: set(np.frombuffer(k, np.int64).tolist()) for k, _ in keys}
+
+    def connect(i: np.ndarray) -> None:
+        g = np.unique(group[i])
+        if len(g) > 1:
+            group[np.isin(group, g)] = g[0]
+
+    for x, k in enumerate(keys):
+        others = [o for o in (keys[x:] if side is None else keys) if (side is None or k[1] < o[1]) and min(at[k[0]] & at[o[0]]) == place]
+        if not others:
+            continue
+        mine = np.array(by[k])
+        them = np.concatenate([by[o] for o in others])
+        alone = others == [k]
+        if alone and len(mine) == 1:
+            continue
+        if len(mine) == 1 or alone and len(mine) == 2:
+            # a path of its own: the overlaps are those of two sets
+            for j in them.tolist() if len(mine) == 1 else [int(mine[1])]:
+                i = int(mine[0])
+                if i != j and len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= _need(t, sizes[i], sizes[j]):
+                    count[[i, j]] += 1
+                    connect(np.array([i, j]))
+            continue
+        trie = Trie([sets[i] for i in mine.tolist()], sizes[mine])
+        leaves = np.zeros(len(mine) + 1, np.int64)
+        inside = np.isin(them, mine)  # these meet each other twice, and themselves
+        for who, a, b in trie.probe([sets[j] for j in them.tolist()], sizes[them], t):
+            count[them[who]] += b - a
+            other = int((~inside[who]).sum())
+            leaves[a] += other
+            leaves[b] -= other
+            connect(np.concatenate([them[who], mine[trie.order[a:b]]]))
+        count[mine[trie.order]] += np.cumsum(leaves)[:-1]
+        if inside.any():
+            # a set meets itself, and is found if enough of it is shared
+            count[mine] -= np.array([len(sets[i]) for i in mine.tolist()]) >= _need(t, sizes[mine], sizes[mine])
+    return count, group
+
+
+def linked(docs: DataFrame, n: int, t: float, text: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(tid, links, root) of the texts with similar ones: partial counts, and edges that connect what links connect."""
     spark = docs.sparkSession
-    rows = candidates(docs, n, threshold, key, text).repartition(shuffle_partitions(spark), "key", F.when(F.col("key") < 0, F.col("h"))).sortWithinPartitions("key", "h", F.col("first").isNotNull(), "doc_id")
-    arrow = pa.schema([(c, pa.int64()) for c in ("doc_a", "doc_b", "common", "size_a", "size_b")])
+    rows = cut(candidates(docs, n, t, text))
+    weight = F.sum(F.octet_length("grams") + 500).cast("bigint").alias("b")
+    large = cut(rows.groupBy("place").agg(weight).where(F.col("b") > part_bytes).select("place", F.ceil(F.col("b") / part_bytes).cast("int").alias("c"), "b"))
+    few, more = large.agg(F.count("*"), F.sum(F.col("c") * F.col("b"))).first()
+    parts = max(shuffle_partitions(spark), ((rows.agg(weight).first()[0] or 0) + (more or 0)) // TASK_BYTES)
+    large = large.drop("b")
+    rows = rows.join(F.broadcast(large) if few <= BROADCAST else large, "place", "left")
+    part = F.pmod(F.xxhash64("tid"), F.coalesce("c", F.lit(1))).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.coalesce("c", F.lit(1)) - 1), lambda x: F.struct(F.least(x, "p").alias("i"), F.greatest(x, "p").alias("j")))
+    rows = rows.withColumn("p", part).select("place", F.explode(pairs).alias("w"), "tid", "size", "places", "grams", "p").select("place", "w.i", "w.j", "tid", "size", "places", "grams", "p")
+    arrow = pa.schema([("tid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int, int, int]] = []
-
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], schema=arrow)
-            out.clear()
-            return batch
-
-        for now, group in groupby((row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in range(6)))), key=itemgetter(0)):
-            if now < 0:  # equal texts
-                for _, doc, size, _, first, _ in group:
-                    out.append((first, doc, size, size, size))
-                    if len(out) >= 50_000:
-                        yield flush()
+        out: list[tuple[np.ndarray, ...]] = []
+        held = 0
+        for (place, i, j), group in groupby((row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in range(8)))), key=itemgetter(0, 1, 2)):
+            tid, size, places, grams, side = zip(*(row[3:] for row in group))
+            if len(tid) == 1:
                 continue
-            ids: list[int] = []
-            sizes: list[int] = []
-            blobs: list[bytes] = []
-            for _, equal in groupby(group, key=itemgetter(3)):
-                whole: dict[tuple[int, bytes], int] = {}
-                stands: dict[tuple[int, int], int] = {}  # smallest key of the set of a text
-                for _, doc, size, _, copied, blob in equal:
-                    if copied is not None:  # equal texts come after the sets
-                        out.append((stands[copied, size], doc, size, size, size))
-                        if len(out) >= 50_000:
-                            yield flush()
-                        continue
-                    first = stands[doc, size] = whole.setdefault((size, blob), doc)
-                    # sets of which each n-gram is shared are equal if these are
-                    if first != doc and len(_exchange.unpack_sorted(blob)) == size:
-                        out.append((first, doc, size, size, size))
-                    else:
-                        ids.append(doc)
-                        sizes.append(size)
-                        blobs.append(blob)
-            if len(ids) > 1:
-                for i, j, c in trie_join(_Packed(blobs), sizes, threshold, connect):
-                    a, b = (i, j) if ids[i] < ids[j] else (j, i)
-                    if ids[a] != ids[b]:
-                        out.append((ids[a], ids[b], c, sizes[a], sizes[b]))
-                    if len(out) >= 50_000:
-                        yield flush()
-        yield flush()
-
-    return rows.mapInArrow(join, PAIRS).distinct()
+            tid = np.array(tid)
+            count, root = links([_exchange.unpack_sorted(g) for g in grams], np.array(size, np.int64), t, list(places), place, None if i == j else np.array(side) == j)
+            some = count > 0
+            out.append((tid[some], count[some], tid[root[some]]))
+            held += len(out[-1][0])
+            if held >= 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], schema=arrow)
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], schema=arrow)
+
+    return rows.repartition(parts, "place", "i", "j").sortWithinPartitions("place", "i", "j", "tid").mapInArrow(join, _LINKED)
+
+
+def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+    """(doc_id, class_id, links) of every row of docs.
+
+    Two texts are linked if the sets of their word n-grams, whatever the case
+    and punctuation, have a similarity common / (size_a + size_b - common) of at
+    least threshold; a text of 1 to n - 1 words has one n-gram, all of it. links
+    counts the other texts that a text is linked to: all of them, copies of a
+    text as one. class_id is the smallest key of the rows whose texts are equal
+    or connected by links, directly or through others. Texts without words are
+    linked to none, a null text isn't equal to another either: its class is its
+    own key. Rows that repeat a key or text each have their row; a null key is
+    in a class and gives it no name. Only the two named columns are read.
+    """
+    got = cut(linked(docs, n, threshold, text, part_bytes))
+    count = got.groupBy("tid").agg(F.sum("links").alias("links"))
+    groups = components(got, "tid", "root").select(F.col("doc_id").alias("tid"), F.col("group_id").alias("g"))
+    rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), _exchange.text_key(F.col(f"`{text}`")).alias("tid"), F.col(f"`{text}`").isNull().alias("none"))
+    # copies are combined in each task before they meet
+    texts = rows.where("not none").groupBy("tid").agg(F.min("doc_id").alias("least"))
+    texts = texts.join(groups, "tid", "left").join(count, "tid", "left").select("tid", "least", F.coalesce("g", "tid").alias("g"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
+    classes = texts.groupBy("g").agg(F.min("least").alias("class_id"))
+    named = texts.join(classes, "g").select("tid", "class_id", "links")
+    with_text = rows.where("not none").join(named, "tid").select("doc_id", "class_id", "links")
+    return with_text.unionAll(rows.where("none").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("links")))
 
 
 def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
     """(doc_id, group_id) of every document in a pair: the smallest id it is connected to.
 
     Large and small stars alternate until nothing changes, a logarithmic number
-    of rounds; each round's edges are cut off in the shared folder.
+    of rounds; each round's edges are cut off in the shared folder. The least
+    neighbour of a hub is found by partial minima and joined to its edges, which
+    a skewed join may split.
     """
     edges = cut(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     state = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
         edges = cut(small.select("u", "m").unionAll(small.select("v", "m")).toDF("u", "v").where("u <> v").distinct())
         new = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if new == state:
@@ -390,13 +362,15 @@ def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFram
 
 
 SQL = rf"""
-WITH p AS (SELECT doc_id, regexp_extract_all(lower(text), '{_text.WORD_SQL}') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {NGRAM} THEN [array_to_string(w, ' ')]
-  ELSE list_transform(range(1, len(w) - {NGRAM} + 2), lambda i: array_to_string(w[i:i + {NGRAM} - 1], ' ')) END)) AS s FROM p WHERE len(w) > 0),
-r AS (SELECT s, min(doc_id) AS rep FROM g GROUP BY s),
-e AS (SELECT rep, len(s) AS size, unnest(s) AS gram FROM r)
-SELECT a.rep AS doc_a, b.rep AS doc_b, count(*) AS common, any_value(a.size) AS size_a, any_value(b.size) AS size_b
-FROM e a JOIN e b ON a.gram = b.gram AND a.rep < b.rep GROUP BY a.rep, b.rep
-HAVING count(*) >= {THRESHOLD} * (any_value(a.size) + any_value(b.size) - count(*))
-UNION ALL SELECT r.rep, g.doc_id, len(g.s), len(g.s), len(g.s) FROM g JOIN r USING (s) WHERE g.doc_id > r.rep
+WITH RECURSIVE t AS (SELECT text, min(doc_id) AS least, regexp_extract_all(lower(text), '{_text.WORD_SQL}') AS w FROM documents WHERE text IS NOT NULL GROUP BY text),
+n AS (SELECT row_number() OVER (ORDER BY text) AS id, least, text, list_distinct(CASE WHEN len(w) < {NGRAM} THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - {NGRAM} + 2), lambda i: array_to_string(w[i:i + {NGRAM} - 1], ' ')) END) AS s, len(w) AS words FROM t),
+e AS (SELECT id, len(s) AS size, unnest(s) AS gram FROM n WHERE words > 0),
+p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.gram = b.gram AND a.id <> b.id GROUP BY a.id, b.id
+  HAVING count(*) >= {THRESHOLD} * (any_value(a.size) + any_value(b.size) - count(*))),
+r AS (SELECT id, id AS other FROM n UNION SELECT r.id, p.b FROM r JOIN p ON r.other = p.a),
+c AS (SELECT r.id, min(n.least) AS class_id FROM r JOIN n ON n.id = r.other GROUP BY r.id),
+l AS (SELECT a AS id, count(*) AS links FROM p GROUP BY a)
+SELECT d.doc_id, c.class_id, coalesce(l.links, 0) AS links FROM documents d JOIN n USING (text) JOIN c USING (id) LEFT JOIN l USING (id)
+UNION ALL SELECT doc_id, doc_id, 0 FROM documents WHERE text IS NULL
 """

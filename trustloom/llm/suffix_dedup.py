@@ -23,11 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _exchange, _text
-from ._common import shuffle_partitions
 
 LEAST = 50
 REPEATS = "doc_id bigint, start bigint, n_words bigint, other_id bigint, other_start bigint"
-_RUN = "part int, block bigint, n int, run binary"
+_RUN = "part int, block int, n int, run binary"
 
 
 def common_prefix(a: bytes, b: bytes, at: int = 0) -> int:
@@ -128,15 +127,28 @@ def front_code(rows: list[tuple[bytes, int, int]]) -> bytes:
 
 
 def front_decode(blob: bytes, n: int) -> Iterator[tuple[bytes, int, tuple[int, int]]]:
-    """Suffixes, their common prefixes with the one before, and (document, start), one at a time."""
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    prefix, size, doc, start = (np.frombuffer(raw, np.int64, n, i * 8 * n) for i in range(4))
-    at, last = 32 * n, b""
-    for i in range(n):
-        m = int(size[i])
-        last = last[: prefix[i]] + raw[at : at + m]
-        at += m
-        yield last, int(prefix[i]), (int(doc[i]), int(start[i]))
+    """Suffixes, their common prefixes with the one before, and (document, start), one at a time.
+
+    The run stays compressed; what is read of it at a time are four numbers a
+    suffix and a piece of its characters.
+    """
+    with zstandard.ZstdDecompressor().stream_reader(blob) as reader:
+        numbers = b""
+        while len(numbers) < 32 * n:
+            numbers += reader.read(32 * n - len(numbers))
+        prefix, size, doc, start = (np.frombuffer(numbers, np.int64, n, i * 8 * n) for i in range(4))
+        last, held, at = b"", b"", 0
+        for i in range(n):
+            m = int(size[i])
+            if len(held) - at < m:
+                parts, have = [held[at:]], len(held) - at
+                while have < m:
+                    parts.append(reader.read(max(m - have, 1 << 16)))
+                    have += len(parts[-1])
+                held, at = b"".join(parts), 0
+            last = last[: prefix[i]] + held[at : at + m]
+            at += m
+            yield last, int(prefix[i]), (int(doc[i]), int(start[i]))
 
 
 def _windows(texts: list[str], least: int) -> Iterator[tuple[_text.Words, np.ndarray, np.ndarray, np.ndarray]]:
@@ -162,7 +174,9 @@ def _distinct(f: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def suffix_runs(docs: DataFrame, least: int, key: str, text: str) -> DataFrame:
-    parts = shuffle_partitions(docs.sparkSession)
+    """Sorted runs, a partition for each range of first fingerprints, as many as blocks."""
+    blocked = _exchange.blocks(docs, F.col(f"`{key}`"), F.col(f"`{text}`"))
+    parts = blocked.n
 
     def all_windows(docs: _exchange.Docs) -> tuple[np.ndarray, np.ndarray]:
         got = [(f, left) for _, _, f, left in _windows(docs[1], least)]
@@ -192,7 +206,7 @@ def suffix_runs(docs: DataFrame, least: int, key: str, text: str) -> DataFrame:
         head = (low != high) | (low == 0)
         return np.repeat(head.astype(np.uint32), np.diff(np.append(start, len(f)))), words
 
-    arrow = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("run", pa.binary())])
+    arrow = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("run", pa.binary())])
 
     def finish(block: int, docs: _exchange.Docs, answers: list[np.ndarray]) -> pa.Table:
         runs: list[list] = [[] for _ in range(parts)]
@@ -230,11 +244,10 @@ def suffix_runs(docs: DataFrame, least: int, key: str, text: str) -> DataFrame:
                 for p, x, y, d, s in zip(where.tolist(), lo.tolist(), hi.tolist(), doc.tolist(), (head - ptr[doc]).tolist()):
                     runs[p].append((line[x:y], keys[w.first + d], s))
         rows = [(p, len(r), front_code(sorted(r))) for p, r in enumerate(runs) if r]
-        return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], schema=arrow)
+        return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], schema=arrow)
 
-    blocked = _exchange.blocks(docs, F.col(f"`{key}`"), F.col(f"`{text}`"))
     answers = _exchange.ask(blocked, emit_left, heads_of, _exchange.ask(blocked, emit, repeated), np.uint64)
-    return _exchange.finish(blocked, answers, 2, finish, _RUN)
+    return _exchange.finish(blocked, answers, 2, finish, _RUN).repartitionById(parts, "part")
 
 
 def suffix_dedup(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,7 +262,6 @@ def suffix_dedup(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text:
     rows repeated whole are copies of each other. Only the two named columns
     are read.
     """
-    parts = shuffle_partitions(docs.sparkSession)
     arrow = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("other_id", pa.int64()), ("other_start", pa.int64())])
 
     def merge(table: pa.Table) -> pa.Table:
@@ -268,5 +280,4 @@ def suffix_dedup(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text:
             out.append((last[1], last[2], *before))
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], schema=arrow)
 
-    runs = suffix_runs(docs, least, key, text).repartition(parts, "part")
-    return runs.groupBy("part").applyInArrow(merge, REPEATS)
+    return suffix_runs(docs, least, key, text).groupBy("part").applyInArrow(merge, REPEATS)
