@@ -25,9 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are connected by near-copy pairs, that of the smallest doc_id."""
-    groups = jaccard_join.components(jaccard_join.jaccard_join(docs, connect=True))
-    drop = groups.where("doc_id <> group_id").select("doc_id")
+    """Of documents whose texts are equal or connected by near copies, that of the smallest doc_id; one without doc_id stays."""
+    drop = jaccard_join.jaccard_join(docs).where("doc_id <> class_id").select("doc_id")
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -55,9 +54,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _common.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    """The last stage's rows; a stage's folder is deleted when the next one has been written from it."""
+    docs, before = _common.table(spark, sf_dir, "documents"), None
+    for k, (_, stage) in enumerate(STAGES):
         where = _common.shared_path(spark, f"stage{k}")
         stage(spark, docs, sf_dir).write.parquet(where)
         docs = spark.read.parquet(where)
+        if before:
+            _common.remove(spark, before)
+        before = where
     return docs
