@@ -163,54 +163,116 @@ def bigram_rows(spark, n):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
+def whole(m, words, w1, w2):
+    """Sum of the probabilities of all words of the corpus after a context."""
+    w, share = m.v.find(np.array([word_hash(x) for x in words], np.uint64))
+    return np.exp(m.log_prob(np.full(len(w), w1), np.full(len(w), w2), w, share)).sum()
+
+
+def plain(m, w1, w2, w, share):
+    """A probability by the definition."""
+    step = lambda x: np.rint(x * 256) / 256
+    v, h = m.v, step(np.append((m.c[0] * m.r[w1] + m.c[1] * m.r[w2])[:-1], 1).astype(float))
+    s = np.exp(step(m.q.astype(float)) @ h)
+    p = s[int(v.slot(np.array([w]))[0])] / s.sum()
+    if v.head <= w < v.head + v.body:
+        lo = (w - v.head) // v.width * v.width
+        s = np.exp(step(m.q2[lo : lo + v.width].astype(float)) @ h)
+        p *= s[w - v.head - lo] / s.sum()
+    return np.log(p) + share
+
+
 def test_lm_learns_and_is_normalised(spark):
-    docs = bigram_rows(spark, 2500).repartition(2)
-    m = lm_score.fit(docs)
-    w = np.arange(len(m.b))
-    for a, b in ((5, 9), (0, 1), (1, 1)):
-        assert abs(np.exp(m.log_prob(np.full(len(w), a), np.full(len(w), b), w)).sum() - 1) < 1e-4
-    s = lm_score.lm_score(docs).agg(F.sum("log_prob"), F.sum("n_words")).first()
+    docs = bigram_rows(spark, 2500)
+    s = lm_score.lm_score(docs, block_bytes=400_000).agg(F.sum("log_prob"), F.sum("n_words")).first()
     assert -s[0] / s[1] < 2.2  # two of forty words follow each: 0.7 at best, 3.7 for the unigram
-    # one by one, against the batched products
-    h, _ = m.log_z(np.array([3]), np.array([4]))
-    full = np.exp(h[0] @ m.q.T + m.b)
-    full[lm_score.START] = 0
-    assert abs(m.log_prob(np.array([3]), np.array([4]), np.array([7]))[0] - np.log(full[7] / full.sum())) < 1e-4
+    for shape in ({}, {"head": 4, "classes": 3, "width": 5, "known": 30}, {"head": 0, "classes": 4, "width": 20, "known": 40}, {"head": 3, "classes": 0, "width": 1, "known": 3}):
+        m = lm_score.fit(docs.limit(200), **shape)
+        words = [f"a{i}" for i in range(40)]
+        live = m.v.noise[-m.v.tail :].sum() if shape and shape["head"] + shape["classes"] * shape["width"] < 40 else 0
+        for a, b in ((m.v.start, m.v.start), (0, 1), (2, m.v.start)):
+            total = whole(m, words, a, b)
+            assert total < 1 + 1e-4 and (live or total > 0.9)
+            w, share = m.v.find(np.array([word_hash(x) for x in words], np.uint64))
+            got = m.log_prob(np.full(40, a), np.full(40, b), w, share)
+            assert np.allclose(got, [plain(m, a, b, x, y) for x, y in zip(w.tolist(), share.tolist())], atol=1e-4)
+
+
+def test_lm_tail_has_the_shares_of_the_counts(spark):
+    words = [f"t{i}" for i in range(2000)]
+    docs = spark.createDataFrame([(i, " ".join([w] * (i % 5 + 1))) for i, w in enumerate(words)], "doc_id long, text string")
+    v = lm_score.vocabulary(docs, head=10, classes=4, width=10, known=900)
+    w, share = v.find(np.array([word_hash(x) for x in words], np.uint64))
+    assert (np.sort(w[w < 50]) == np.arange(50)).all() and np.isclose(v.noise.sum(), 1)
+    for k in range(v.tail):  # shares of a class sum to 1, the rarer ones are equal
+        of = w == 50 + k
+        assert abs(np.exp(share[of]).sum() - 1) < 1e-4
+    counts = np.array([i % 5 + 1 for i in range(2000)])
+    total = np.bincount(w[w >= 50] - 50, weights=counts[w >= 50], minlength=v.tail)
+    exact = (counts >= 4) & (w >= 50)
+    assert np.allclose(share[exact], np.log(counts[exact] / total[w[exact] - 50]), atol=1e-5)
+    assert np.isclose(v.noise[-v.tail :] * counts.sum(), total).all()
+    m = lm_score.Model.first(v)
+    assert abs(whole(m, words, 5, v.start) - 1) < 1e-3
+
+
+def test_lm_one_step_against_differences():
+    rng = np.random.default_rng(8)
+    n = np.array([9, 7, 5, 4, 3, 2, 1.0])
+    v = lm_score.Vocabulary(np.arange(7, dtype=np.uint64), np.arange(7, dtype=np.int32), np.zeros(7, np.float32), np.zeros(1, np.float32), np.array([9, 7, 9, 5, 1, 1]) / 32, n[2:] / np.array([9, 9, 5, 5, 1]), 2, 2)
+    m = lm_score.Model.first(v)
+    for k, x in enumerate(m.parts()):
+        setattr(m, "r q q2 c".split()[k], x.astype(np.float64) + rng.normal(size=x.shape) * 0.3)
+    w1, w2, w, noise = (rng.integers(0, k, 6) for k in (7, 7, 7, 6))
+    body = w[(w >= 2)] - 2
+    at = np.minimum(body[:, None] // 2 * 2 + rng.integers(0, 2, (len(body), 2)), 4)
+    t = lm_score.Trainer(m, 0.1, 0)
+
+    def loss(m):
+        h = m.c[0] * m.r[w1] + m.c[1] * m.r[w2]
+        h[:, -1] = 1
+        bits = lambda s: np.logaddexp(0, s).sum()
+        out = bits(-(np.einsum("ij,ij->i", h, m.q[v.slot(w)]) - t.log_noise[v.slot(w)])) + bits(h @ m.q[noise].T - t.log_noise[noise])
+        hb = h[w >= 2]
+        return out + bits(-(np.einsum("ij,ij->i", hb, m.q2[body]) - t.log_inside[body])) + bits(np.einsum("ij,ikj->ik", hb, m.q2[at]) - t.log_inside[at])
+
+    summed, lm_score._summed = lm_score._summed, lambda i, g: (np.unique(i), np.stack([g[i == k].sum(axis=0) for k in np.unique(i)]))
+    got = t.gradients(w1, w2, w, noise, at)
+    lm_score._summed = summed
+    for k, i, g in got:
+        x = m.parts()[k]
+        rows = np.arange(len(x))[i]
+        for row, want in zip(rows, g):
+            for j in range(x.shape[1] - (k in (0, 3))):
+                old = x[row, j]
+                x[row, j] = old + 1e-5
+                up = loss(m)
+                x[row, j] = old - 1e-5
+                down = loss(m)
+                x[row, j] = old
+                assert abs((up - down) / 2e-5 - want[j] * (len(w) if k == 3 else 1)) < 1e-4
+    i, g = np.array([3, 1, 3, 70_000]), rng.normal(size=(4, 16)).astype(np.float32)
+    rows, sums = summed(i, g)
+    assert rows.tolist() == [1, 3, 70_000] and np.allclose(sums, [g[1], g[0] + g[2], g[3]])
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark):
+    docs, _ = data(spark, 300)
+    one, two = ({(r["doc_id"], r["log_prob"], r["perplexity"]) for r in lm_score.lm_score(docs.repartition(n), block_bytes=20_000).collect()} for n in (1, 7))
+    assert sorted(one ^ two, key=str) == [] and len(one) > 300
 
 
 def test_lm_edges(spark):
-    docs = spark.createDataFrame([(1, "a b a b c", 1), (2, None, 1), (3, "", 1), (None, "a", 1), (4, "zz", 1), (1, "a b a b c", 1)], "doc_id long, text string, n int")
-    got = lm_score.lm_score(docs, size=4).collect()
+    docs = spark.createDataFrame([(1, "a b a b c", 1), (2, None, 1), (3, "", 1), (None, "a", 1), (4, "zz", 1), (1, "a b a b c", 1), (5, "long words " * 60_000, 1)], "doc_id long, text string, n int")
+    got = lm_score.lm_score(docs, head=2, classes=1, width=1).collect()
     by = {r["doc_id"]: r for r in got}
-    assert len(got) == 6 and by[2]["n_words"] is None and by[3]["n_words"] == 0 and by[3]["perplexity"] is None and by[4]["n_words"] == 1
+    assert len(got) == 7 and by[2]["n_words"] is None and by[3]["n_words"] == 0 and by[3]["perplexity"] is None and by[4]["n_words"] == 1 and by[5]["n_words"] == 120_000
+    assert len({(r["log_prob"], r["perplexity"]) for r in got if r["doc_id"] == 1}) == 1 and np.isfinite(by[None]["log_prob"])
     assert lm_score.lm_score(docs.where("false")).collect() == []
     assert lm_score.lm_score(docs.where("doc_id = 3")).first()["log_prob"] == 0
 
 
-def test_vocabulary_counts_everything(spark):
-    docs = spark.createDataFrame([(1, "a b a"), (2, "b a"), (3, None)], "doc_id long, text string")
-    top, total = lm_score.vocabulary(docs, 1, "text")
-    assert total == 5 and top == [(int(np.array([word_hash("a")], np.uint64).view(np.int64)[0]), 3)]
-
-
-def test_lm_vocabulary_follows_the_corpus(spark):
-    words = [f"v{i}" for i in range(3000)]
-    docs = spark.createDataFrame([(i, " ".join(words[i * 10 : i * 10 + 10] * 6)) for i in range(300)] + [(1000 + i, f"once{i}") for i in range(50)], "doc_id long, text string")
-    m = lm_score.fit(docs)
-    assert len(m.words) == 3000 and len(m.r) == 3002  # every word of the corpus above the threshold has a row
-    known = m.ids(np.array([word_hash(w) for w in words], np.uint64))
-    assert len(set(known.tolist())) == 3000 and lm_score.UNKNOWN not in known
-    w = np.arange(len(m.r))
-    for a, b in ((5, 2900), (0, 1), (1, 1)):
-        assert abs(np.exp(m.log_prob(np.full(len(w), a), np.full(len(w), b), w)[w != lm_score.START]).sum() - 1) < 1e-4
-    assert m.log_prob(np.array([0]), np.array([0]), np.array([2500]))[0] < -4  # not the probability of all rare words together
-
-
-def test_lm_words_of_classes_are_learnt(spark):
-    docs = bigram_rows(spark, 2500).repartition(2)
-    m = lm_score.fit(docs, head=8)
-    assert len(m.q) > len(m.r)
-    w = np.array([lm_score.UNKNOWN, *range(2, len(m.r))])
-    assert abs(np.exp(m.log_prob(np.full(len(w), 30), np.full(len(w), 9), w)).sum() - 1) < 1e-4
-    s = lm_score.lm_score(docs, head=8).agg(F.sum("log_prob"), F.sum("n_words")).first()
-    assert -s[0] / s[1] < 2.2
+def test_lm_unknown_text_is_not_preferred(spark):
+    docs = bigram_rows(spark, 300).unionAll(spark.createDataFrame([(9000, " ".join(f"never{i}" for i in range(50)))], "doc_id long, text string"))
+    got = {r["doc_id"]: r["perplexity"] for r in lm_score.lm_score(docs, head=8, classes=2, width=8, known=40).collect()}
+    assert got[9000] > 5 * max(v for k, v in got.items() if k != 9000)

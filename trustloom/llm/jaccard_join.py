@@ -27,7 +27,7 @@ from ._common import cut, shuffle_partitions
 
 NGRAM, THRESHOLD = 3, 0.5
 #: A place with more bytes of sets is cut into parts, and every two parts meet in a task.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 TASK_BYTES = 2 << 20
 #: Large places up to so many are broadcast, two numbers each.
 BROADCAST = 100_000
