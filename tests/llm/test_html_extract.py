@@ -1,4 +1,5 @@
 import random
+import time
 
 from trustloom.llm import _text
 from trustloom.llm.html_extract import extract, visible_text
@@ -52,6 +53,21 @@ def test_against_brute_force(spark):
 def test_visible_text():
     assert visible_text('<head><title>t</title></head><script>var t="</p>";</script><p a="x>y">A &amp; <b>b</b>old<br>c <!-- d -->1 < 2') == "A & bold\nc 1 < 2"
     assert visible_text("<script>never closed <p>x") == ""
+    for hidden in ("svg", "iframe", "template", "script"):
+        assert visible_text(f"<p>a</p><{hidden}/><p>b</p><{hidden} x='>' />c<{hidden}>d</{hidden.upper()} >e") == "a\nb\nc e"
+    assert visible_text('a <b title="x>y" <i>c</i> d < e <f "g>h') == 'a y" c d < e h'
+    assert visible_text("a <!-- b <p> c --> d <!-- e > f") == "a d" and visible_text("a <b c <!-- d") == "a <b c"
+    assert visible_text("<pre>x</pre>y<?php z ?>w</ q>!") == "x\nyw!"
+
+
+def test_malformed_pages_take_linear_time():
+    began = time.time()
+    n = 250_000
+    parts = ["<a", "<a ", "<!--", '<a "', "<a '>", '<a ">" ', "<svg", "<svg>", "</", "<", '"<a>"', "<script/>", "<b x='", "<p>", "&amp"]
+    for x in parts:
+        for end in ("", '"', ">", "'>", "-->"):
+            visible_text(x * (n // len(x)) + end)
+    assert time.time() - began < 60
 
 
 def test_empty(spark):

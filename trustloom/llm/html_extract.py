@@ -20,23 +20,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _exchange, _text
+from ._common import cut
 
 LEAST = 8
 BLOCK_BYTES = 6 << 20
 EXTRACTED = "page_id bigint, text string, n_tokens bigint, n_removed bigint"
 
-_DROP = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template|svg|iframe|textarea)\b.*?(?:</\1\s*>|\Z)")
-_INSIDE = r"""(?:(?:"[^"<]*"|'[^'<]*'|[^'">])*+>|[^>]*>)"""
-_BREAK = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|article|section|nav|header|footer|aside|main|blockquote|pre|form|dd|dt|dl|hr|body)\b" + _INSIDE)
-_TAG = re.compile(r"<[a-zA-Z/!?]" + _INSIDE)
+_HIDDEN = {n: re.compile(rf"(?i)</{n}\s*>") for n in ("script", "style", "title", "noscript", "template", "svg", "iframe", "textarea")}
+_BLOCKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr td th table article section nav header footer aside main blockquote pre form dd dt dl hr body".split())
+#: Where markup begins, and how a tag goes on: neither side of a quote has a "<", so a failing match ends at the next one.
+_MARK = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9]*)|[!?/])")
+_REST = re.compile(r"""(?:[^'"<>]++|"[^"<]*+"|'[^'<]*+')*+>""")
 
 
 def visible_text(page: str) -> str:
-    """The text that a page shows: no scripts, styles, titles, comments or tags, a line for each block."""
-    t = _DROP.sub(" ", page)
-    t = _BREAK.sub("\n", t)
-    t = html.unescape(_TAG.sub("", t))
-    return "\n".join(x for x in (" ".join(line.split()) for line in t.split("\n")) if x)
+    """The text that a page shows: no scripts, styles, titles, comments or tags, a line for each block.
+
+    A tag ends at the first ">" outside quotes, or, where a "<" or an open quote
+    comes before it, at the first ">"; where none follows, there is no tag. Hidden elements and
+    comments that aren't closed go to the end of the page; "/>" closes. Every
+    character is looked at a bounded number of times.
+    """
+    out: list[str] = []
+    pos = 0
+    while m := _MARK.search(page, pos):
+        out.append(page[pos : m.start()])
+        if m[1]:
+            end = page.find("-->", m.end())
+            if end < 0:
+                break
+            out.append(" ")
+            pos = end + 3
+            continue
+        rest = _REST.match(page, m.end())
+        pos = rest.end() if rest else page.find(">", m.end()) + 1
+        if not pos:  # no tag and no comment can end any more
+            end = page.find("<!--", m.start())
+            out.append(page[m.start() : end if end >= 0 else len(page)])
+            break
+        name = m[3].lower() if m[3] else ""
+        if name in _BLOCKS:
+            out.append("\n")
+        elif name in _HIDDEN and not m[2] and page[pos - 2] != "/":
+            close = _HIDDEN[name].search(page, pos)
+            if close is None:
+                break
+            out.append(" ")
+            pos = close.end()
+    else:
+        out.append(page[pos:])
+    return "\n".join(x for x in (" ".join(line.split()) for line in html.unescape("".join(out)).split("\n")) if x)
 
 
 def suffix_ranks(tokens: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,17 +88,22 @@ def suffix_ranks(tokens: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.nd
     return at, rank[at]
 
 
-def _block(docs: _exchange.Docs, least: int):
-    """Token streams of a block: chunks, and of all windows: position, page, fingerprint, host is split, repeated here."""
-    keys, packed = docs
-    hosts, split, texts = zip(*(p.split("\0", 2) for p in packed)) if packed else ((), (), ())
-    _, page = np.unique(keys, return_inverse=True)
+def _streams(docs: _exchange.Docs, least: int):
+    """Token streams of a block: chunks, tokens of each page, tokens, page row of each, where windows begin, and whether the host is split."""
+    hosts, split, texts = zip(*(p.split("\0", 2) for p in docs[1])) if docs[1] else ((), (), ())
     host = _text.span_hashes(*_spans([h.encode() for h in hosts]))
     chunks = list(_text.words(list(texts), lower=False))
     tokens = np.concatenate([w.hashes for w in chunks]) if chunks else np.zeros(0, np.uint64)
     count = np.concatenate([np.diff(w.ptr) for w in chunks]) if chunks else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(count)), count)
     tokens = _text.mix(tokens ^ host[doc])  # those of other hosts are others
+    at = np.flatnonzero(np.arange(len(tokens)) + least <= np.cumsum(count)[doc])
+    return chunks, count, tokens, doc, at, np.array([s == "1" for s in split], dtype=bool)
+
+
+def _repeated(keys: np.ndarray, count: np.ndarray, tokens: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
+    """Of the windows of a block, whether another page of the block has it."""
+    _, page = np.unique(keys, return_inverse=True)
     at, rank = suffix_ranks(tokens, np.cumsum(count)[doc], least)
     on = page[doc[at]]
     order = np.lexsort((on, rank))  # the suffix array, by page within equal suffixes
@@ -75,7 +113,7 @@ def _block(docs: _exchange.Docs, least: int):
     several = np.repeat(p[first] != p[np.append(first[1:], len(r)) - 1], size) if len(r) else np.zeros(0, bool)
     repeated = np.zeros(len(at), dtype=bool)
     repeated[order] = several
-    return chunks, count, tokens, doc, at, repeated, np.array([s == "1" for s in split], dtype=bool)
+    return repeated
 
 
 def _spans(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,17 +135,18 @@ def extract(pages: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BYTES
     runs of other tokens, one a line, n_removed of n_tokens are gone. Tokens
     are words as in _text, but with their case. Pages are told apart by key:
     rows that repeat a key are one page to each other, and each has its row. A
-    page whose url is null or has no host is compared with none. A null page
+    page whose url is null or has no host is compared with none. What is text
+    is said in visible_text; malformed markup takes no longer. A null page
     or one without text has an empty text. Rows of a null key are left out.
     Only the three named columns are read.
     """
     rows = pages.where(F.col(f"`{key}`").isNotNull()).select(
         F.col(f"`{key}`").cast("bigint").alias("k"),
         F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)).alias("h"),
-        F.translate(F.coalesce(F.col(f"`{page}`"), F.lit("")), "\0", " ").alias("t"),
+        F.coalesce(F.col(f"`{page}`"), F.lit("")).alias("t"),
     )
     rows = rows.withColumn("h", F.when(F.col("h") == "", F.concat(F.lit("#"), F.col("k"))).otherwise(F.translate("h", "\0", " ")))
-    sizes = rows.groupBy("h").agg(F.sum(F.octet_length("t")).alias("size"))
+    sizes = cut(rows.groupBy("h").agg(F.sum(F.octet_length("t")).alias("size")))
     total, large = sizes.agg(F.sum("size"), F.count(F.when(F.col("size") > block_bytes, 1))).first()
     n = _exchange.block_count(total, block_bytes)
     split = sizes.where(F.col("size") > block_bytes).select("h", F.ceil(F.col("size") / block_bytes).cast("bigint").alias("s"))
@@ -122,9 +161,9 @@ def extract(pages: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BYTES
         return f"{h}\0{s}\0{visible_text(body)}"
 
     def emit(docs: _exchange.Docs) -> tuple[np.ndarray, np.ndarray]:
-        _, _, tokens, doc, at, _, is_split = _block(docs, least)
-        some = at[is_split[doc[at]]] if len(at) else at
-        f = np.unique(_fingerprints(tokens, some, least))
+        some = [(k, t) for k, t in zip(*docs) if t.split("\0", 2)[1] == "1"]
+        _, _, tokens, _, at, _ = _streams(([k for k, _ in some], [t for _, t in some]), least)
+        f = np.unique(_fingerprints(tokens, at, least))
         return f, np.zeros(len(f), np.uint16)
 
     def reduce(f: np.ndarray, payload: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +174,8 @@ def extract(pages: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BYTES
     arrow = pa.schema([("page_id", pa.int64()), ("text", pa.string()), ("n_tokens", pa.int64()), ("n_removed", pa.int64())])
 
     def finish(block: int, docs: _exchange.Docs, answers: np.ndarray) -> pa.Table:
-        chunks, count, tokens, doc, at, repeated, is_split = _block(docs, least)
+        chunks, count, tokens, doc, at, is_split = _streams(docs, least)
+        repeated = _repeated(docs[0], count, tokens, doc, least)
         if answers.size:
             ask = np.flatnonzero(is_split[doc[at]])
             f = _fingerprints(tokens, at[ask], least)
