@@ -1,8 +1,12 @@
 import random
 import time
 
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from trustloom.llm import _text
-from trustloom.llm.html_extract import extract, visible_text
+from trustloom.llm.html_extract import extract, longest_shared, suffix_array, visible_text
 
 SCHEMA = "page_id long, url string, html string, block string"
 
@@ -70,5 +74,22 @@ def test_malformed_pages_take_linear_time():
     assert time.time() - began < 60
 
 
+@given(st.lists(st.lists(st.integers(0, 3), max_size=14), min_size=1, max_size=7), st.lists(st.integers(0, 2), min_size=7, max_size=7))
+@settings(max_examples=300, deadline=None)
+def test_suffix_array(streams, pages):
+    flat = np.array([x for s in streams for x in s], np.uint64)
+    end = np.repeat(np.cumsum([len(s) for s in streams]), [len(s) for s in streams])
+    page = np.repeat(np.array(pages[: len(streams)]), [len(s) for s in streams])
+    suffix = [tuple(flat[i:e].tolist()) for i, e in enumerate(end)]
+
+    def common(a, b):
+        return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    order, lcp = suffix_array(flat, end)
+    assert [suffix[i] for i in order] == sorted(suffix) and sorted(order.tolist()) == list(range(len(flat)))
+    assert lcp.tolist() == [common(suffix[order[k - 1]], suffix[i]) if k else 0 for k, i in enumerate(order)]
+    assert longest_shared(flat, end, page).tolist() == [max((common(s, t) for t, q in zip(suffix, page) if q != p), default=0) for s, p in zip(suffix, page)]
+
+
 def test_empty(spark):
     assert extract(spark.createDataFrame([], SCHEMA)).collect() == []

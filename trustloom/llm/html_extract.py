@@ -1,11 +1,11 @@
 """HTML extraction with a host suffix array (operator 3).
 
 A page's visible text becomes a token stream. The streams of a host are
-concatenated and their suffixes ranked by prefix doubling as deep as the
-shortest boilerplate; a group of suffixes of equal rank that lie on distinct
-pages is a repeated substring. Tokens that such substrings cover are removed,
-the runs between them stay. A host of more than a block is cut into blocks by
-page; then each block also asks the others, by fingerprint, which of its
+concatenated into a suffix array with common prefixes; the longest prefix that a
+suffix has in common with one of another page is a repeated substring. Tokens
+that such substrings of some length cover are removed, the runs between them
+stay. A host of more than a block is cut into blocks by page; each has its own
+suffix array, and asks the others, by fingerprint, which of its shortest
 substrings they have.
 """
 
@@ -72,20 +72,66 @@ def visible_text(page: str) -> str:
     return "\n".join(x for x in (" ".join(line.split()) for line in html.unescape("".join(out)).split("\n")) if x)
 
 
-def suffix_ranks(tokens: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, ranks) of the suffixes that reach depth tokens before end[i], ranked by these tokens."""
-    _, rank = np.unique(tokens, return_inverse=True)
-    rank = rank.astype(np.int64)
-    have, n = 1, len(tokens)
-    while have < depth:
-        step = min(have, depth - have)
-        far = np.zeros(n, dtype=np.int64)
-        far[: n - step] = rank[step:] + 1
-        _, rank = np.unique(rank * (n + 1) + far, return_inverse=True)
-        rank = rank.astype(np.int64)
-        have += step
-    at = np.flatnonzero(np.arange(n) + depth <= end)
-    return at, rank[at]
+def suffix_array(tokens: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes tokens[i : end[i]] in order, and the common prefix of each with the one before it (0 for the first).
+
+    Prefix doubling; after the first round only suffixes that are still equal to
+    others are sorted again, those that end equal stay together. The ranks of
+    every depth are kept: they give the common prefixes by halving steps.
+    """
+    n = len(tokens)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, kind, many = np.unique(tokens, return_inverse=True, return_counts=True)
+    order = np.argsort(kind, kind="stable")
+    rank = (np.cumsum(many) - many)[kind]
+    depths = [rank.astype(np.int32)]
+    tied = np.flatnonzero(np.repeat(many > 1, many))  # places in order
+    depth = 1
+    while len(tied):
+        p = order[tied]
+        far = np.minimum(p + depth, n - 1)
+        then = np.where(p + depth < end[p], rank[far], -1)
+        o = np.lexsort((then, rank[p]))
+        p, then = p[o], then[o]
+        order[tied] = p
+        same = rank[p]
+        first = np.flatnonzero(np.concatenate([[True], (same[1:] != same[:-1]) | (then[1:] != then[:-1])]))
+        size = np.diff(np.append(first, len(p)))
+        rank = rank.copy()
+        rank[p] = np.repeat(tied[first], size)
+        depths.append(rank.astype(np.int32))
+        tied = tied[np.repeat(size > 1, size) & (then >= 0)]
+        depth *= 2
+    a, b = order[:-1], order[1:]
+    lcp = np.zeros(n - 1, np.int64)
+    room = np.minimum(end[a] - a, end[b] - b)
+    for k in range(len(depths) - 1, -1, -1):
+        some = np.flatnonzero(lcp < room)
+        at = lcp[some]
+        some = some[depths[k][a[some] + at] == depths[k][b[some] + at]]
+        lcp[some] = np.minimum(lcp[some] + (1 << k), room[some])
+    return order, np.concatenate([[0], lcp])
+
+
+def _lowest(lcp: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Of each place, the minimum of lcp from the start of its run; runs are numbered in order."""
+    step = int(lcp.max(initial=0)) + 1
+    return np.minimum.accumulate(lcp - run * step) + run * step
+
+
+def longest_shared(tokens: np.ndarray, end: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """For each suffix the length of its longest prefix that stands on another page too."""
+    order, lcp = suffix_array(tokens, end)
+    if not len(order):
+        return order
+    on = page[order]
+    run = np.concatenate([[0], np.cumsum(on[1:] != on[:-1])])  # neighbours of one page: the nearest of another is beyond
+    up = _lowest(lcp, run)
+    down = _lowest(np.append(lcp[1:], 0)[::-1], run[-1] - run[::-1])[::-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(up, down)
+    return out
 
 
 def _streams(docs: _exchange.Docs, least: int):
@@ -101,21 +147,6 @@ def _streams(docs: _exchange.Docs, least: int):
     return chunks, count, tokens, doc, at, np.array([s == "1" for s in split], dtype=bool)
 
 
-def _repeated(keys: np.ndarray, count: np.ndarray, tokens: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
-    """Of the windows of a block, whether another page of the block has it."""
-    _, page = np.unique(keys, return_inverse=True)
-    at, rank = suffix_ranks(tokens, np.cumsum(count)[doc], least)
-    on = page[doc[at]]
-    order = np.lexsort((on, rank))  # the suffix array, by page within equal suffixes
-    r, p = rank[order], on[order]
-    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(r)))
-    several = np.repeat(p[first] != p[np.append(first[1:], len(r)) - 1], size) if len(r) else np.zeros(0, bool)
-    repeated = np.zeros(len(at), dtype=bool)
-    repeated[order] = several
-    return repeated
-
-
 def _spans(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.cumsum([len(p) for p in parts]).astype(np.int64)
     return np.frombuffer(b"".join(parts), np.uint8), ends - np.array([len(p) for p in parts], np.int64), ends
@@ -175,14 +206,18 @@ def extract(pages: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BYTES
 
     def finish(block: int, docs: _exchange.Docs, answers: np.ndarray) -> pa.Table:
         chunks, count, tokens, doc, at, is_split = _streams(docs, least)
-        repeated = _repeated(docs[0], count, tokens, doc, least)
+        _, page = np.unique(docs[0], return_inverse=True)
+        size = longest_shared(tokens, np.cumsum(count)[doc], page[doc])
+        covers = [(np.flatnonzero(size >= least), size[size >= least])]
         if answers.size:
-            ask = np.flatnonzero(is_split[doc[at]])
-            f = _fingerprints(tokens, at[ask], least)
-            repeated[ask] |= (answers[0] > 0)[np.searchsorted(np.unique(f), f)]
+            ask = at[is_split[doc[at]]]
+            f = _fingerprints(tokens, ask, least)
+            found = ask[(answers[0] > 0)[np.searchsorted(np.unique(f), f)]]
+            covers.append((found, np.full(len(found), least)))
         edge = np.zeros(len(tokens) + 1, dtype=np.int64)
-        np.add.at(edge, at[repeated], 1)
-        np.add.at(edge, at[repeated] + least, -1)
+        for begin, length in covers:
+            edge[:-1] += np.bincount(begin, minlength=len(tokens))
+            edge -= np.bincount(begin + length, minlength=len(edge))
         keep = np.cumsum(edge)[:-1] == 0
         texts, base = [], 0
         for w in chunks:
