@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Followers of a lower normalised rank don't count.
 FOLLOWER_RANK = 8
-#: A saturating sum stops here, the largest unsigned 64-bit number.
-UNSIGNED_MAX = (1 << 64) - 1
+#: A saturating sum stops here, the largest number of a bigint.
+MOST = (1 << 63) - 1
 
 
 def _clamp(x: Column) -> Column:
@@ -40,8 +40,8 @@ def hour(seconds: Column) -> Column:
 
 
 def saturating_sum(x: Column) -> Column:
-    """Sum that stops at UNSIGNED_MAX, as decimal(20, 0)."""
-    return F.least(F.sum(x.cast("decimal(20,0)")), F.lit(UNSIGNED_MAX).cast("decimal(20,0)")).cast("decimal(20,0)")
+    """Sum of bigints that stops at MOST instead of overflowing."""
+    return F.least(F.sum(x.cast("decimal(20,0)")), F.lit(MOST).cast("decimal(38,0)")).cast("bigint")
 
 
 def hex_id(b: Column) -> Column:

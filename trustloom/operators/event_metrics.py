@@ -39,5 +39,5 @@ def event_assertions(events: DataFrame) -> DataFrame:
     """A row for each event that was engaged with: counts, paid amount and rank."""
     e = engagement(events)
     sums = [F.count(F.when(F.col("what") == c, 1)).alias(c) for c in COUNTS[:-1]]
-    counts = e.groupBy("event").agg(*sums, F.sum("amount").cast("bigint").alias("zap_amount"))
+    counts = e.groupBy("event").agg(*sums, scores.saturating_sum(F.col("amount")).alias("zap_amount"))
     return counts.withColumn("rank", scores.event_rank(*[F.col(c) for c in COUNTS]))

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 DICTIONARY = "bytes binary, sym bigint"
 
 
 def number(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
     """Dense numbers after start in the order of columns, without one task sorting all rows.
 
-    Rows are range-partitioned; each partition counts, the counts are summed
-    before it, and rows are numbered within their partition.
+    Rows are range-partitioned and cut off, as ranges sampled anew would differ;
+    each partition counts, the counts are summed before it, and rows are
+    numbered within their partition.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    ranged = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     counts = ranged.groupBy("_p").count()  # a row a partition
     before = counts.withColumn("_b", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

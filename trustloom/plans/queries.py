@@ -159,8 +159,8 @@ def _users(s: SparkSession, d: str) -> DataFrame:
 
 query_("user_assertions", f"{_USERS} SELECT * FROM ua")(_users)
 _TOP = "SELECT row_number() OVER (ORDER BY {m} DESC, pubkey DESC) AS position, pubkey, {m} FROM (SELECT pubkey, {m} FROM ua WHERE {m} IS NOT NULL ORDER BY {m} DESC, pubkey DESC LIMIT 500)"
-query_("list_ranks", f"{_USERS} {_TOP.format(m='rank')}")(lambda s, d: reputation.ranked(_users(s, d), "rank"))
-query_("list_followers", f"{_USERS} {_TOP.format(m='follower_cnt')}")(lambda s, d: reputation.ranked(_users(s, d), "follower_cnt"))
+query_("list_ranks", f"{_USERS} {_TOP.format(m='rank')}")(lambda s, d: reputation.top_ranks(ev(s, d), 20))
+query_("list_followers", f"{_USERS} {_TOP.format(m='follower_cnt')}")(lambda s, d: reputation.top_followers(ev(s, d), 20))
 
 _EVENTS = f"""WITH {EV}, g AS (
   SELECT node AS event, 'c' AS w, 0 AS amount FROM tag WHERE kind = 1 AND label IN ('Reply', 'RootReply')

@@ -22,6 +22,21 @@ def users(events: DataFrame, iterations: int = PAGERANK_ITERATIONS) -> DataFrame
     return user_metrics.user_assertions(events.where(F.col("kind") != FOLLOWS), follows, graph.pagerank(follows, iterations))
 
 
+def top_ranks(events: DataFrame, iterations: int = PAGERANK_ITERATIONS, k: int = TOP) -> DataFrame:
+    """ranked(users, "rank") without the other metrics."""
+    return ranked(user_metrics.normalized_ranks(graph.pagerank(graph.follows(events), iterations)).where("pubkey is not null"), "rank", k)
+
+
+def top_followers(events: DataFrame, iterations: int = PAGERANK_ITERATIONS, k: int = TOP) -> DataFrame:
+    """ranked(users, "follower_cnt") without the other metrics: those of no follower count with 0."""
+    follows = graph.follows(events)
+    ranks = user_metrics.normalized_ranks(graph.pagerank(follows, iterations))
+    zero = F.lit(0).cast("bigint").alias("follower_cnt")
+    known = ranks.select("pubkey", zero).unionAll(user_metrics.known_users(events.where(F.col("kind") != FOLLOWS)).select("pubkey", zero))
+    counts = known.unionByName(user_metrics.follower_counts(follows, ranks)).where("pubkey is not null").groupBy("pubkey").agg(F.sum("follower_cnt").alias("follower_cnt"))
+    return ranked(counts, "follower_cnt", k)
+
+
 def engaged_events(events: DataFrame) -> DataFrame:
     return event_metrics.event_assertions(events)
 
