@@ -70,6 +70,8 @@ def test_sums_stop_at_the_largest_number(spark):
     assert user_metrics.zaps_sent(z).first()["zap_amt_sent"] == most and user_metrics.zaps_received(z).first()["zap_amt_recd"] == most
     assert a.where("pubkey = 1").first()["zap_avg_amt_day_sent"] == most // 2 == user_metrics.zaps_sent(z).first()["zap_avg_amt_day_sent"]
     assert event_metrics.event_assertions(df).first()["zap_amount"] == most
+    assert a.where("pubkey = 5").first()["zap_amt_sent"] == a.where("pubkey = 1").first()["zap_amt_recd"] == 0
+    assert spark.range(0).select(scores.saturating_sum(F.col("id"))).first()[0] is None
     assert spark.range(3).select(scores.saturating_sum(F.col("id"))).first()[0] == 3
 
 

@@ -40,8 +40,9 @@ def hour(seconds: Column) -> Column:
 
 
 def saturating_sum(x: Column) -> Column:
-    """Sum of bigints that stops at MOST instead of overflowing."""
-    return F.least(F.sum(x.cast("decimal(20,0)")), F.lit(MOST).cast("decimal(38,0)")).cast("bigint")
+    """Sum of bigints that stops at MOST instead of overflowing; null of nothing."""
+    total = F.sum(x.cast("decimal(20,0)"))
+    return F.when(total > F.lit(MOST).cast("decimal(38,0)"), F.lit(MOST)).otherwise(total.cast("bigint"))
 
 
 def hex_id(b: Column) -> Column:
