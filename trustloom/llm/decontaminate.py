@@ -165,6 +165,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, slop: i
     columns may have any name. Benchmarks above chunk_bytes of text are matched
     in that many parts, each against its own index.
     """
+    if n + 2 * slop >= GAP // 2:
+        raise ValueError(f"n + 2 * slop must be less than {GAP // 2}")
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-size // chunk_bytes) or 1

@@ -40,6 +40,8 @@ def exact_dedup(docs: DataFrame, salts: int = 8, key: str = "doc_id", text: str
 
 
 SQL = """
-SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text
-UNION ALL SELECT doc_id, 1 AS copies FROM documents WHERE text IS NULL
+SELECT doc_id, text, lang, source, n_chars, copies FROM (
+  SELECT *, count(*) OVER (PARTITION BY text) AS copies, row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST, lang NULLS FIRST, source NULLS FIRST, n_chars NULLS FIRST) AS k
+  FROM documents WHERE text IS NOT NULL) WHERE k = 1
+UNION ALL SELECT doc_id, text, lang, source, n_chars, 1 FROM documents WHERE text IS NULL
 """

@@ -45,7 +45,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_bpe": op7_bpe,
     "op8_licenses": op8_licenses,
-    "op9_exact_dedup": lambda s, d: op9_exact_dedup(s, d).select("doc_id", "copies"),
+    "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
     "pipeline": corpus_pipeline.run,
 }
